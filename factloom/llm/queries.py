@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.llm import pii, quality
 from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import copies
+from factloom.llm.urls import filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +19,26 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_read(spark, sf_dir, "documents"), key="demonstration key")
+    return found.select(F.col("id").alias("doc_id"), "text", "n_values", "kinds")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = copies(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
