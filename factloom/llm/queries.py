@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import pii, quality
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import copies
+from factloom.llm.packing import pack
+from factloom.llm.tokens import read_ids, write_ids
 from factloom.llm.urls import filter_urls
+from factloom.operators.staging import Staging
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +34,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -39,6 +49,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, st = _read(spark, sf_dir, "documents"), Staging(spark, "tokens")
+    folder = st.folder("ids")
+    return read_ids(docs, folder, write_ids(docs, folder, TOKENIZER, 2, st))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
