@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import pii, quality
+from factloom.llm.media import media_columns
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import copies
 from factloom.llm.packing import pack
@@ -38,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, _read(spark, sf_dir, "labels"))
