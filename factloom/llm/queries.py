@@ -10,6 +10,7 @@ from factloom.llm.media import media_columns
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import copies
 from factloom.llm.packing import pack
+from factloom.llm.substrings import cut_repeats
 from factloom.llm.tokens import read_ids, write_ids
 from factloom.llm.urls import filter_urls
 from factloom.operators.staging import Staging
@@ -31,6 +32,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "text", "n_values", "kinds")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_repeats(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
