@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import pii, quality
+from factloom.llm.lines import dedup_lines
 from factloom.llm.media import media_columns
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import copies
@@ -55,6 +56,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = copies(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
