@@ -1 +1,57 @@
-"""factloom.streaming"""
+"""Structured Streaming counterparts of the batch operators.
+
+Event time is the rows' own time; rows later than the watermark are late and dropped. Each function takes a
+streaming or a batch DataFrame, so a result can be held against the same operator over all rows at once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from factloom.operators.staging import Staging
+
+
+def tumbling(events: DataFrame, time: str, key: list[str], width: str, late: str) -> DataFrame:
+    w = F.window(time, width)
+    return events.withWatermark(time, late).groupBy(w, *key).agg(F.count("*").alias("n"), F.sum("amount").alias("total")).select(F.col("window.start").alias("start"), *key, "n", "total")
+
+
+def sliding(events: DataFrame, time: str, key: list[str], width: str, step: str, late: str) -> DataFrame:
+    w = F.window(time, width, step)
+    return events.withWatermark(time, late).groupBy(w, *key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *key, "n")
+
+
+def sessions(events: DataFrame, time: str, key: list[str], gap: str, late: str) -> DataFrame:
+    w = F.session_window(time, gap)
+    return events.withWatermark(time, late).groupBy(w, *key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *key, "n")
+
+
+def deduplicated(events: DataFrame, time: str, key: list[str], late: str) -> DataFrame:
+    """The first row seen of each key within the watermark."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
+
+
+def latest(events: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
+    """The last value by event time of each key, as a running state."""
+    return events.groupBy(*key).agg(F.max(F.struct(time, value)).alias("m")).select(*key, F.col(f"m.{time}").alias(time), F.col(f"m.{value}").alias(value))
+
+
+def run_available(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], mode: str = "append", label: str = "stream") -> DataFrame:
+    """Runs a stream over the Parquet files at a path until all are read, and returns its output table.
+
+    Complete and update outputs go through ``foreachBatch``: each batch replaces the table of the one before.
+    """
+    st = Staging(spark, label)
+    target, checkpoint = st.folder("out"), st.folder("checkpoint")
+    folder, _, name = path.rpartition("/")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+    result = shape(source)
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", target)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target))
+    writer.start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(target)
