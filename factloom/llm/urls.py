@@ -26,6 +26,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Suffixes of two labels; all others count as one label.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 
+#: The share of poor pages assumed before any label is seen, and the labelled pages that this counts as.
+BASE_RATE, BASE_PAGES = 0.1, 20
+
 
 def split_url(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds ``host`` and ``path``."""
@@ -77,7 +80,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, staging: Staging, id_col:
     domain, suffix = _names(F.col("host"))
     hosts = staging.write(seen.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("x"), F.count("bad").alias("n")).withColumns({"domain": domain, "suffix": suffix}), "hosts")
     totals = hosts.agg(F.sum("x"), F.sum("n")).first()
-    top = ((totals[0] or 0) + 1) / ((totals[1] or 0) + 2)
+    top = ((totals[0] or 0) + BASE_RATE * BASE_PAGES) / ((totals[1] or 0) + BASE_PAGES)
     sums = lambda by: hosts.groupBy(*by).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     mean = lambda m, prior: (m * prior + F.col("x")) / (m + F.col("n"))
 
