@@ -23,7 +23,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators.staging import Staging
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: Characters that byte-level vocabularies write for bytes: the byte's own if it is printable, else the next from U+0100.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+MARKS = b".,;:!?"
 NO_ID = -(2**63)
 
 
 class WordTokenizer:
-    """Encodes texts with a tokenizer whose tokens never span ASCII white space."""
+    """Encodes texts with a lower-casing tokenizer whose tokens never span ASCII white space.
+
+    New words are encoded as one text with the digit 0 between them, a token of its own in such
+    vocabularies, and told apart by its id; words that hold a 0 are encoded singly.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,21 +56,81 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.mark = self._ids("0")
+        if len(self.mark) != 1 or self._ids("a 0 b") != [*self._ids("a"), *self.mark, *self._ids("b")]:
+            raise ValueError("the tokenizer doesn't keep the digit 0 apart")
+        self.direct = True
+        probes = ("the", "\xe9t\xe9", "\xdcber", "stra\xdfe", "ni\xf1o", "zzxqj")
+        self.direct = all(np.frombuffer(self._letters(x.encode()), "<u4").tolist() == self._ids(x) for x in probes)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of letters up to U+00FF, from the model alone: such a word is one piece, already
+        in normal form once lower-cased. None for other words, or if this tokenizer doesn't work so."""
+        if not self.direct:
+            return None
+        if not word.isalpha():
+            text = word.decode()
+            if not text.isalpha() or max(text) > "\xff":
+                return None
+            word = text.lower().encode()
+        return array("I", [t.id for t in self.inner.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     @property
     def dtype(self) -> str:
         return "<u2" if self.inner.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Adds the ids of new words. Closing marks after a letter or digit are tokens of their own."""
+        known, tails, bodies = self.known, self.tails, {}
+        for w in fresh:
+            body = w.rstrip(MARKS)
+            if len(body) < len(w) and body[-1:].isalnum():
+                tail = w[len(body) :]
+                if tail not in tails:
+                    tails[tail] = np.array(self._ids(tail.decode()), "<u4").tobytes()
+                bodies[w] = body
+            else:
+                bodies[w] = w
+        new = {b for b in bodies.values() if b not in known}
+        plain = []
+        for b in new:
+            if (direct := self._letters(b)) is not None:
+                known[b] = direct
+            elif b"0" not in b:
+                plain.append(b)
+        if plain:
+            ids = np.array(self._ids(" 0 ".join([b.decode() for b in plain])), "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+            if len(cuts) != len(plain) - 1:
+                raise ValueError("the separator doesn't come back once a word")
+            data = ids.tobytes()
+            for b, start, end in zip(plain, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+                known[b] = data[4 * start : 4 * end]
+        for b in new.difference(known):
+            known[b] = np.array(self._ids(b.decode()), "<u4").tobytes()
+        for w, body in bodies.items():
+            if w is not body:
+                known[w] = known[body] + tails[w[len(body) :]]
+        if len(tails) > 10_000:
+            tails.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text, as unsigned 32-bit integers."""
-        words, known = (text or "").encode("utf-8", "replace").split(), self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        if fresh := [w for w in dict.fromkeys(words) if w not in known]:
-            for w, e in zip(fresh, self.inner.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        if len(self.known) > CACHED_WORDS:  # the words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
+        parts = list(map(self.known.get, words))
+        try:
+            data = b"".join(parts)
+        except TypeError:  # some word is new
+            self._learn({w for w, p in zip(words, parts) if p is None})
+            data = b"".join(map(self.known.__getitem__, words))
+        return np.frombuffer(data, "<u4")
 
 
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
