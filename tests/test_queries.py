@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import analysis_queries, evidence_queries, kernel_queries, record_queries
+from factloom.plans import analysis_queries, evidence_queries, kernel_queries, record_queries, series_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (evidence_queries, analysis_queries, record_queries, kernel_queries)
+MODULES = (evidence_queries, analysis_queries, record_queries, kernel_queries, series_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
