@@ -7,7 +7,7 @@ stretches of different payloads give equal chunks. Chunks are named by their SHA
 2. Store: chunks, compressed with a dictionary trained on a bounded sample of documents, are
    deduplicated by digest and written to a table bucketed by digest.
 3. Reading: the recipes of distinct payloads are joined with the store in place (its buckets are not
-   shuffled), chunks are gathered by payload, checked against their digests and joined; features come
+   shuffled), chunks are gathered by payload, checked against their digests and joined in order; features come
    from these bytes. Copies of a payload are read once and their rows joined by payload digest.
 
 The stored form of a payload is its manifest (magic, count, then length and digest of each chunk)
@@ -76,7 +76,8 @@ def chunks_of(payload: bytes, gear: np.ndarray) -> list[bytes]:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, media, digests)`` of each document; ``media`` is the payload's SHA-256."""
+    """``(doc_id, n_bytes, media, digests)`` of each document; ``media`` is the payload's SHA-256, digests are
+    NULL if the payload is one chunk, which then has the same name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
@@ -86,13 +87,14 @@ def recipes(docs: DataFrame) -> DataFrame:
                 payload, n = payload_of(text)
                 sizes.append(n)
                 names.append(hashlib.sha256(payload).digest())
-                digests.append([hashlib.sha256(c).digest() for c in chunks_of(payload, gear)])
+                chunks = chunks_of(payload, gear)
+                digests.append([hashlib.sha256(c).digest() for c in chunks] if len(chunks) > 1 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media", "digests"])
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
-def compressed_chunks(docs: DataFrame, dictionary: bytes, level: int = 6, batch_bytes: int = 4 << 20) -> DataFrame:
+def compressed_chunks(docs: DataFrame, dictionary: bytes, level: int = 12, batch_bytes: int = 4 << 20) -> DataFrame:
     """``(digest, data)`` of every chunk of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,33 +134,35 @@ def feature_of(payload: bytes) -> str:
 
 
 def read_back(gathered: DataFrame, dictionary: bytes) -> DataFrame:
-    """Media rows from ``(media, digests, chunks)``, chunks being ``array<struct<digest,data>>`` in any order."""
+    """Media rows from ``(media, chunks)``, chunks being ``array<struct<place,digest,data>>`` in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for row in batch.to_pylist():
-                stored = {c["digest"]: c["data"] for c in row["chunks"]}
-                plain = {k: press.decompress(v, max_output_size=MOST + LEAST) for k, v in stored.items()}
-                for k, v in plain.items():
-                    if hashlib.sha256(v).digest() != k:
-                        raise ValueError(f"chunk {k.hex()} doesn't match its digest")
-                payload = b"".join(plain[k] for k in row["digests"])
-                if hashlib.sha256(payload).digest() != row["media"]:
+                chunks = sorted(row["chunks"], key=lambda c: c["place"])
+                plain = [press.decompress(c["data"], max_output_size=MOST + LEAST) for c in chunks]
+                for c, v in zip(chunks, plain):
+                    if hashlib.sha256(v).digest() != c["digest"]:
+                        raise ValueError(f"chunk {c['digest'].hex()} doesn't match its digest")
+                payload = b"".join(plain)
+                found = hashlib.sha256(payload).digest()
+                if found != row["media"]:
                     raise ValueError(f"media {row['media'].hex()} doesn't match its digest")
-                manifest = b"CDC1" + len(row["digests"]).to_bytes(4, "little") + b"".join(len(plain[k]).to_bytes(4, "little") + k for k in row["digests"])
-                form = manifest + b"".join(stored[k] for k in row["digests"])
-                for column, value in zip(out, (row["media"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(payload))):
+                manifest = b"CDC1" + len(chunks).to_bytes(4, "little") + b"".join(len(v).to_bytes(4, "little") + c["digest"] for c, v in zip(chunks, plain))
+                form = manifest + b"".join(c["data"] for c in chunks)
+                for column, value in zip(out, (found, len(payload), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).digest(), feature_of(payload))):
                     column.append(value)
-            types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["media", "payload_bytes", "tail_crc32", "media_bytes", "form", "feature"])
 
-    return gathered.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return gathered.mapInArrow(run, "media binary, payload_bytes long, tail_crc32 long, media_bytes long, form binary, feature string")
 
 
 def train_dictionary(texts: DataFrame) -> bytes:
-    rows = texts.where("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()  # bounded sample
+    ids = texts.where("length(text) > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).collect()  # both bounded by the sample
     samples = [r["text"].encode("utf-8", "replace") for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
@@ -185,10 +189,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     finally:
         spark.conf.set(CLEANUP, before)
 
-    payloads = st.write(known.groupBy("media").agg(F.first("digests").alias("digests")), "payloads")
-    wanted = payloads.select("media", F.explode(F.array_distinct("digests")).alias("digest"))
+    payloads = known.groupBy("media").agg(F.first("digests").alias("digests"))
+    wanted = payloads.select("media", F.posexplode(F.coalesce("digests", F.array("media"))).alias("place", "digest"))
     found = wanted.join(spark.table(table).hint("merge"), "digest")
-    chunks = found.groupBy("media").agg(F.collect_list(F.struct("digest", "data")).alias("chunks"))
-    media = st.write(read_back(payloads.join(chunks, "media").select("media", "digests", "chunks"), dictionary), "media")
-    out = known.select("doc_id", "n_bytes", "media", F.size("digests").cast("long").alias("n_chunks")).join(media, "media")
+    chunks = found.groupBy("media").agg(F.collect_list(F.struct("place", "digest", "data")).alias("chunks"))
+    media = st.write(read_back(chunks, dictionary), "media")
+    out = known.select("doc_id", "n_bytes", "media", F.coalesce(F.size("digests"), F.lit(1)).cast("long").alias("n_chunks")).join(media, "media")
+    digests = {"payload_sha256": F.lower(F.hex("media")), "media_sha256": F.lower(F.hex("form"))}
+    out = out.withColumns(digests)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")

@@ -10,6 +10,7 @@ from factloom.llm.lines import dedup_lines
 from factloom.llm.media import media_columns
 from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import copies
+from factloom.llm.oracles import ORACLES
 from factloom.llm.packing import pack
 from factloom.llm.substrings import cut_repeats
 from factloom.llm.tokens import read_ids, write_ids
@@ -39,7 +40,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+    return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")).drop("poor_bound")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES

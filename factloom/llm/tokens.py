@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators.staging import Staging
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: Characters that byte-level vocabularies write for bytes: the byte's own if it is printable, else the next from U+0100.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
@@ -61,7 +61,7 @@ class WordTokenizer:
         self.mark = self._ids("0")
         if len(self.mark) != 1 or self._ids("a 0 b") != [*self._ids("a"), *self.mark, *self._ids("b")]:
             raise ValueError("the tokenizer doesn't keep the digit 0 apart")
-        self.direct = True
+        self.model, self.direct = self.inner.model, True
         probes = ("the", "\xe9t\xe9", "\xdcber", "stra\xdfe", "ni\xf1o", "zzxqj")
         self.direct = all(np.frombuffer(self._letters(x.encode()), "<u4").tolist() == self._ids(x) for x in probes)
 
@@ -78,7 +78,7 @@ class WordTokenizer:
             if not text.isalpha() or max(text) > "\xff":
                 return None
             word = text.lower().encode()
-        return array("I", [t.id for t in self.inner.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     @property
     def dtype(self) -> str:
@@ -128,8 +128,11 @@ class WordTokenizer:
         try:
             data = b"".join(parts)
         except TypeError:  # some word is new
-            self._learn({w for w, p in zip(words, parts) if p is None})
-            data = b"".join(map(self.known.__getitem__, words))
+            places = [i for i, p in enumerate(parts) if p is None]
+            self._learn({words[i] for i in places})
+            for i in places:
+                parts[i] = self.known[words[i]]
+            data = b"".join(parts)
         return np.frombuffer(data, "<u4")
 
 
