@@ -120,7 +120,10 @@ def _profiles(texts: DataFrame, base: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, base: int, length: int, first: bool, batch_rows: int = 200_000) -> DataFrame:
-    """``(id, f1, f2, start, h)`` of the candidate windows of ``length`` words.
+    """``(id, f1, f2, start, more, h)`` of the candidate windows of ``length`` words.
+
+    A window that a document repeats within itself is one row: its first start, and the others in ``more``
+    (else NULL), so that a window's rows are its documents, however often each repeats it.
 
     ``texts`` has ``(id, text, f1, f2, held)``; held are the surviving base hashes, or the surviving starts of
     windows of half the length. Rows whose words don't have the fingerprint give nothing.
@@ -130,9 +133,10 @@ def _windows(texts: DataFrame, base: int, length: int, first: bool, batch_rows:
         w = Windows()
 
         def out(parts: list) -> pa.RecordBatch:
-            ids, f1, f2, starts, hashes = zip(*parts)
+            ids, f1, f2, starts, more, hashes = zip(*parts)
             sizes = [len(x) for x in starts]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (ids, f1, f2)] + [pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["id", "f1", "f2", "start", "h"])
+            lists = pa.array([m for x in more for m in x], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (ids, f1, f2)] + [pa.array(np.concatenate(starts).astype(np.int32)), lists, pa.array(np.concatenate(hashes))], names=["id", "f1", "f2", "start", "more", "h"])
 
         parts, count = [], 0
         for batch in batches:
@@ -151,15 +155,23 @@ def _windows(texts: DataFrame, base: int, length: int, first: bool, batch_rows:
                     alive[held] = True
                     starts = np.flatnonzero(alive[:n] & alive[length // 2 : length // 2 + n])
                 if len(starts):
-                    parts.append((doc, f1, f2, starts, w.hashes(ids, length)[starts]))
-                    count += len(starts)
+                    h, at = np.unique(w.hashes(ids, length)[starts], return_index=True)
+                    more: list = [None] * len(h)
+                    if len(h) < len(starts):
+                        rest = np.delete(np.arange(len(starts)), at)
+                        for j, s in zip(np.searchsorted(h, w.hashes(ids, length)[starts[rest]]).tolist(), starts[rest].tolist()):
+                            if more[j] is None:
+                                more[j] = []
+                            more[j].append(s)
+                    parts.append((doc, f1, f2, starts[at], more, h))
+                    count += len(h)
                 if count >= batch_rows:
                     yield out(parts)
                     parts, count = [], 0
         if parts:
             yield out(parts)
 
-    return texts.mapInArrow(run, "id long, f1 long, f2 long, start int, h long")
+    return texts.mapInArrow(run, "id long, f1 long, f2 long, start int, more array<int>, h long")
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, base: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,9 +195,9 @@ def cut_repeats(docs: DataFrame, length: int = 50, base: int = 25, id_col: str =
         owners = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
         again = windows.join(owners, "h")
         if level == length:
-            starts = again.where("id > lo").groupBy("id", "f1", "f2").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+            starts = again.where("id > lo").groupBy("id", "f1", "f2").agg(F.collect_list("start").alias("one"), F.flatten(F.collect_list("more")).alias("more")).select("id", "f1", "f2", F.concat("one", "more").alias("starts"))
             break
-        alive = again.groupBy("id", "f1", "f2").agg(F.collect_set(F.col("start").cast("long")).alias("held"))
+        alive = again.groupBy("id", "f1", "f2").agg(F.collect_list("start").alias("one"), F.flatten(F.collect_list("more")).alias("more")).select("id", "f1", "f2", F.concat("one", "more").cast("array<long>").alias("held"))
         nxt = st.write(candidates.drop("held").join(alive, ["id", "f1", "f2"]).select("id", "text", "f1", "f2", "held"), "candidates")
         st.drop(candidates, windows)
         candidates, level = nxt, level * 2

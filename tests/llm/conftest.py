@@ -29,6 +29,7 @@ def corpus() -> list[tuple]:
     for i in range(6):
         texts.append(sentence(rng, 30) + "\n" + line.replace("12", str(i)) + "!\n" + sentence(rng, 12))
     texts.append(sentence(rng, 5000))
+    texts += [" ".join(["loop"] * 130), " ".join(["loop"] * 90) + " " + sentence(rng, 20), " ".join(["tick tock tack"] * 40)]  # windows that repeat inside
     for _ in range(20):
         texts.append("\n".join(sentence(rng, rng.randrange(4, 40)) for _ in range(rng.randrange(1, 4))))
     rows = [(i, t, "en", ["a", "b", None, "c"][i % 4], len(t or ""), i, "v", "c", "id") for i, t in enumerate(texts)]
