@@ -99,21 +99,21 @@ def test_window_hashes_are_polynomials():
         assert substrings.Windows.rolled(ids, n).tolist() == want
 
 
-def like_lines(corpus, similarity=0.8, distance=3, min_words=4):
+def like_lines(corpus, similarity=0.8, distance=2, min_words=4, fuzzy_words=12):
     """Groups of like lines by all pairs; the place of each line's kept occurrence."""
     norm = lines.Normaliser()
     places = {}
     for r in corpus:
         if r[0] is not None:
             for n, line in enumerate((r[1] or "").split("\n")):
-                ids = tuple(norm.ids(line).tolist())
+                ids = tuple(norm.ids([line])[0].tolist())
                 if len(ids) >= min_words:
                     places.setdefault(ids, []).append((r[0], n))
     forms = list(places)
     sims = lines.simhashes([np.array(f, np.uint64) for f in forms]).view(np.uint64)
     links = []
     for i, j in combinations(range(len(forms)), 2):
-        if int(sims[i] ^ sims[j]).bit_count() <= distance and lines.edit_similarity(np.array(forms[i]), np.array(forms[j]), similarity) >= similarity:
+        if min(len(forms[i]), len(forms[j])) >= fuzzy_words and int(sims[i] ^ sims[j]).bit_count() <= distance and lines.edit_similarity(np.array(forms[i]), np.array(forms[j]), similarity) >= similarity:
             links.append((i, j))
     groups = smallest(range(len(forms)), links)
     head = {}
