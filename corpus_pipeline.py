@@ -21,7 +21,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and every learned rule."""
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, rules).where("kept").select(docs.columns)
+    return quality.accepted(docs, rules)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,3 +200,13 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
     """``docs`` with its statistics, ``base_failed``, ``rule`` (0: none) and ``kept``."""
     judged = statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    The row number is there only because a filter isn't moved below a projection that holds one: moved, it would
+    carry a copy of every statistic for each place that names it.
+    """
+    numbered = judge(docs, rules, text_col).withColumn("_at", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("_at") >= 0)).select([F.col(f"`{c}`") for c in docs.columns])
