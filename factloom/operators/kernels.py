@@ -10,40 +10,50 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from factloom.operators.staging import Staging
 
 
-def clearing(obligations: DataFrame, cash: DataFrame, staging: Staging, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+def clearing(obligations: DataFrame, cash: DataFrame, staging: Staging, max_rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
     """``(id, due, paid, shortfall)``: the greatest fixed point of paying in proportion up to cash and receipts.
 
     Obligations are ``(borrower, lender, amount)``, cash is ``(id, cash)``. Starting from full payment, each round
-    recomputes what every borrower can pay from its cash and what it is paid.
+    recomputes what every borrower can pay from its cash and what it is paid, until no ratio moves by more than
+    ``tolerance``. Raises if that takes more than ``max_rounds``.
     """
     debts = staging.write(obligations.groupBy("borrower", "lender").agg(F.sum("amount").alias("amount")), "debts")
     due = debts.groupBy(F.col("borrower").alias("id")).agg(F.sum("amount").alias("due"))
     ids = due.select("id").unionByName(debts.select(F.col("lender").alias("id"))).unionByName(cash.select("id")).distinct()
     base = staging.write(ids.join(due, "id", "left").join(cash.groupBy("id").agg(F.sum("cash").alias("cash")), "id", "left").na.fill(0.0, ["due", "cash"]), "base")
     ratio = base.select("id", F.lit(1.0).alias("ratio"))
-    for i in range(rounds):
+    for i in range(max_rounds):
         got = debts.join(ratio.withColumnRenamed("id", "borrower"), "borrower").groupBy(F.col("lender").alias("id")).agg(F.sum(F.col("amount") * F.col("ratio")).alias("got"))
         able = F.greatest(F.lit(0.0), F.col("cash") + F.coalesce("got", F.lit(0.0)))
         new = base.join(got, "id", "left").select("id", F.when(F.col("due") > 0, F.least(F.lit(1.0), able / F.col("due"))).otherwise(1.0).alias("ratio"))
         new = staging.write(new, f"ratio-{i}")
         moved = new.join(ratio.withColumnRenamed("ratio", "old"), "id").agg(F.max(F.abs(F.col("ratio") - F.col("old")))).first()[0]
+        staging.drop(ratio)
         ratio = new
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"clearing did not settle in {max_rounds} rounds")
     return base.join(ratio, "id").select("id", "due", (F.col("due") * F.col("ratio")).alias("paid"), (F.col("due") * (1 - F.col("ratio"))).alias("shortfall"))
 
 
-def look_through(edges: DataFrame, listed: DataFrame, staging: Staging, rounds: int = 10) -> DataFrame:
-    """``(entity, exposure)``: direct and indirect share held by listed owners, shares multiplying along chains, at most 1."""
+def look_through(edges: DataFrame, listed: DataFrame, staging: Staging, max_rounds: int = 1000) -> DataFrame:
+    """``(entity, exposure)``: direct and indirect share held by listed owners, shares multiplying along chains, at most 1.
+
+    Raises if exposures still move after ``max_rounds``.
+    """
     seed = listed.select("entity", F.lit(1.0).alias("exposure")).distinct()
     state = staging.write(seed, "exposure-0")
-    for i in range(1, rounds + 1):
+    for i in range(1, max_rounds + 1):
         held = edges.join(state.withColumnRenamed("entity", "subject"), "subject").groupBy(F.col("object").alias("entity")).agg(F.least(F.lit(1.0), F.sum(F.col("share") * F.col("exposure"))).alias("exposure"))
         new = staging.write(seed.unionByName(held).groupBy("entity").agg(F.max("exposure").alias("exposure")), f"exposure-{i}")
         same = new.join(state.withColumnRenamed("exposure", "old"), "entity", "left").where(F.abs(F.col("exposure") - F.coalesce("old", F.lit(0.0))) > 1e-12).isEmpty()
+        staging.drop(state)
         state = new
         if same:
             break
+    else:
+        raise RuntimeError(f"look-through exposures did not settle in {max_rounds} rounds")
     return state
 
 
@@ -59,8 +69,11 @@ def diffuse(cells: DataFrame, links: DataFrame, steps: int, dt: float, staging:
     return state.select("id", "value")
 
 
-def routes(edges: DataFrame, source: str, staging: Staging, max_rounds: int = 64) -> DataFrame:
-    """``(node, cost)``: cheapest cost from a source, by rounds of relaxing the nodes that improved."""
+def routes(edges: DataFrame, source: str, staging: Staging, max_rounds: int = 10_000) -> DataFrame:
+    """``(node, cost)``: cheapest cost from a source, by rounds of relaxing the nodes that improved.
+
+    Raises if nodes still improve after ``max_rounds``, as along a cycle of negative cost.
+    """
     best = staging.write(edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0.0).alias("cost")), "cost-0")
     front = best
     for i in range(1, max_rounds + 1):
@@ -69,6 +82,8 @@ def routes(edges: DataFrame, source: str, staging: Staging, max_rounds: int = 64
         if front.isEmpty():
             break
         best = staging.write(best.unionByName(front).groupBy("node").agg(F.min("cost").alias("cost")), f"cost-{i}")
+    else:
+        raise RuntimeError(f"routes did not settle in {max_rounds} rounds")
     return best
 
 

@@ -60,8 +60,11 @@ def screen(edges: DataFrame, listed: DataFrame, hops: int, least: float, staging
     return rows.where("hop > 0").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def aggregate_ownership(edges: DataFrame, listed: DataFrame, threshold: float, staging: Staging, max_rounds: int = 20) -> DataFrame:
-    """The fixed point of "blocked if listed or if blocked owners hold at least the threshold": ``(entity, round)``."""
+def aggregate_ownership(edges: DataFrame, listed: DataFrame, threshold: float, staging: Staging, max_rounds: int = 1000) -> DataFrame:
+    """The fixed point of "blocked if listed or if blocked owners hold at least the threshold": ``(entity, round)``.
+
+    Raises if entities are still added after ``max_rounds``.
+    """
     blocked = staging.write(listed.select("entity", F.lit(0).alias("round")).distinct(), "blocked-0")
     for r in range(1, max_rounds + 1):
         held = edges.join(blocked.select(F.col("entity").alias("subject")), "subject").groupBy(F.col("object").alias("entity")).agg(F.sum("share").alias("held"))
@@ -69,6 +72,8 @@ def aggregate_ownership(edges: DataFrame, listed: DataFrame, threshold: float, s
         if new.isEmpty():
             break
         blocked = staging.write(blocked.unionByName(new), f"blocked-{r}")
+    else:
+        raise RuntimeError(f"blocking did not settle in {max_rounds} rounds")
     return blocked
 
 

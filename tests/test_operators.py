@@ -215,3 +215,36 @@ def test_store(spark, tmp_path):
     assert s.lineage(second) == [second, first] and s.verify(second) and s.records(second).count() == 1
     s.records(second).union(s.records(second)).write.mode("append").parquet(f"{tmp_path}/store/d/clean/{second['version']}")
     assert not s.verify(second) and s.latest("d", "none") is None
+
+
+def test_clearing_reaches_the_fixed_point(spark):
+    """A ring that loses 4 of 9 parts a step settles long after 20 rounds."""
+    n = 8
+    links = [(i, (i + 1) % n, 100.0) for i in range(n)] + [(i, n, 80.0) for i in range(n)]
+    cash = {0: 5.0, 3: 1.0}
+    paid, due = {i: 180.0 for i in range(n)}, 180.0
+    for _ in range(500):
+        paid = {i: min(due, cash.get(i, 0.0) + paid[(i - 1) % n] * 100 / due) for i in range(n)}
+    debts = spark.createDataFrame(links, "borrower int, lender int, amount double")
+    funds = spark.createDataFrame(list(cash.items()), "id int, cash double")
+    got = {r["id"]: r["paid"] for r in kernels.clearing(debts, funds, Staging(spark, "t")).collect()}
+    assert {i: got[i] for i in range(n)} == {i: pytest.approx(paid[i], abs=1e-4) for i in range(n)}
+    with pytest.raises(RuntimeError):
+        kernels.clearing(debts, funds, Staging(spark, "t"), max_rounds=5)
+
+
+def test_chains_longer_than_the_old_caps(spark):
+    chain = lambda n, w: spark.createDataFrame([(f"n{i}", f"n{i + 1}", w) for i in range(n)], "subject string, object string, share double")
+    first = spark.createDataFrame([("n0",)], "entity string")
+    assert dict(rows(kernels.look_through(chain(13, 0.9), first, Staging(spark, "t"))))["n13"] == pytest.approx(0.9**13)
+    assert dict(rows(products.aggregate_ownership(chain(23, 1.0), first, 0.5, Staging(spark, "t"))))["n23"] == 23
+    for short in (lambda: kernels.look_through(chain(13, 0.9), first, Staging(spark, "t"), max_rounds=5), lambda: products.aggregate_ownership(chain(23, 1.0), first, 0.5, Staging(spark, "t"), max_rounds=5)):
+        with pytest.raises(RuntimeError):
+            short()
+
+
+def test_routes_beyond_the_old_cap(spark):
+    far = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(67)], "subject string, object string, weight double")
+    assert dict(rows(kernels.routes(far, "n0", Staging(spark, "t"))))["n67"] == 67
+    with pytest.raises(RuntimeError):
+        kernels.routes(far, "n0", Staging(spark, "t"), max_rounds=5)
