@@ -15,7 +15,9 @@ alphabet (0-9, a-z, A-Z), a keyed hash of the other half. Then what makes the va
     secret   access keys, password=, token=  letters and digits permuted, lower-case hexadecimal within itself
 
 Separators stay where they are and don't enter the hash, so one card with and without spaces has one
-pseudonym. Values that fail validation stay as they are.
+pseudonym. A span of groups that isn't valid as a card or IBAN is cut before and after its longest run of whole
+groups that is, and the text around that run is searched again. A secret runs to the next quote or white space;
+without an opening quote it has 8 characters at least. Values that fail validation stay as they are.
 
 Defined cases: null text stays null with no values; empty text stays empty; a null id is kept; repeated rows give
 equal rows; an empty table gives an empty result. Other columns are not read.
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 SPANS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9]{12,80}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|token|secret|api_key) ?[=:] ?(?:\"[^\s\"']+|[^\s\"']{8,})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
@@ -206,13 +208,53 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(found, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
 
+def _run_within(m: Column) -> Column:
+    """``struct(size, start)``, start from 0, of the longest run of whole groups within a span that is a card or IBAN."""
+    groups = F.split(m, "[ -]")
+    start = lambda i: F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g) + 1)
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.transform(F.sequence(i, F.size(groups) - 1), lambda j: F.struct((start(j + 1) - 1 - start(i)).alias("size"), start(i).alias("start")))))
+
+    def valid(run: Column) -> Column:
+        def card(d: Column) -> Column:
+            return F.length(d).between(13, 19) & (_luhn(d, 1) == 0)
+
+        def iban(v: Column) -> Column:
+            return F.length(v).between(15, 34) & (_mod97(F.concat(F.substr(v, F.lit(5)), F.substr(v, F.lit(1), F.lit(4)))) == 1)
+
+        text = F.substr(m, run["start"] + 1, run["size"])
+        return F.when(text.rlike(f"^(?:{SPANS['card']})$"), _let(_only(text, "0-9"), card)).when(text.rlike(f"^(?:{SPANS['iban']})$"), _let(_only(text, "A-Z0-9"), iban)).otherwise(False)
+
+    best = lambda found: F.array_max(F.transform(found, lambda r: F.struct(r["size"].alias("size"), (-r["start"]).alias("back"))))
+    return _let(best(F.filter(runs, valid)), lambda b: F.when(b.isNotNull(), F.struct(b["size"].alias("size"), (-b["back"]).alias("start"))))
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut around card numbers and IBANs that lie within longer spans."""
+
+    def cut(m: Column) -> Column:
+        part = lambda r: F.when(r.isNotNull() & (r["size"] < F.length(m)), F.array(F.substr(m, F.lit(1), r["start"]), F.substr(m, r["start"] + 1, r["size"]), F.substr(m, r["start"] + r["size"] + 1)))
+        grouped = m.rlike(f"^(?:{SPANS['card']}|{SPANS['iban']})$") & m.rlike("[ -]")
+        return F.coalesce(F.when(grouped, _let(_run_within(m), part)), F.array(m))
+
+    gaps, spans = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    parts = F.zip_with(gaps, F.transform(spans, cut), lambda gap, c: F.struct(gap.alias("gap"), F.coalesce(c, F.array(F.lit(""))).alias("c")))
+    join = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), x["gap"], F.element_at(x["c"], 1))), F.slice(x["c"], F.lit(2), F.size(x["c"])))
+    return F.aggregate(parts, F.array(F.lit("")), join)
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, n_values, kinds)``: the text with pseudonyms, how many were put in, and their sorted kinds."""
-    spans = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     first = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = first.withColumn("_new", F.when(F.col("text").rlike("[0-9@]|password|token|secret|api_key"), F.transform(spans, lambda m: pseudonym(m, key))))
-    joined = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), F.col("_new.value"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.filter(F.col("_new.kind"), lambda k: k.isNotNull())
+    grouped = F.col("text").rlike(f"(?:{SPANS['card']})|(?:{SPANS['iban']})")
+    first = first.withColumn("_pieces", F.when(grouped, _pieces(F.col("text"))).otherwise(F.array("text")))
+
+    def renewed(piece: Column) -> Column:
+        new = lambda values: F.struct(values.alias("new"), F.array_join(F.flatten(F.zip_with(F.split(piece, PATTERN, -1), values["value"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "").alias("text"))
+        return _let(F.transform(F.regexp_extract_all(piece, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key)), new)
+
+    first = first.withColumn("_done", F.when(F.col("text").rlike("[0-9@]|password|token|secret|api_key"), F.transform("_pieces", renewed)))
+    joined = F.array_join(F.col("_done.text"), "")
+    kinds = F.filter(F.flatten(F.col("_done.new"))["kind"], lambda k: k.isNotNull())
+    hit = F.col("_done").isNotNull()
     count = F.coalesce(F.size(kinds), F.lit(0))
-    hit = F.size("_new") > 0
     return first.select("id", F.when(hit, joined).otherwise(F.col("text")).alias("text"), F.when(hit, count).otherwise(0).cast("long").alias("n_values"), F.when(hit, F.array_join(F.array_sort(F.array_distinct(kinds)), ",")).otherwise("").alias("kinds"))

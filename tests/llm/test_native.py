@@ -41,6 +41,15 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert masked(spark, texts)[0] == out and masked(spark, texts, "other")[0][1] != out[1]
 
 
+def test_values_within_longer_spans(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "12 4111 1111 1111 1111", "DE89370400440532013000 EUR", "GB82 WEST 1234 5698 7654 32 12", "4111111111111111 123-45-6789", "token=abc-DEF_ghi.jkl/mno+pqr", "password: \"ab1\" left", "api_key=" + "k9" * 60, "4111111111111112 123"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("id").collect()
+    assert [r["kinds"] for r in got] == ["card", "card", "card", "iban", "iban", "card,ssn", "secret", "secret", "secret", ""]
+    plain = pii.pseudonymise(spark.createDataFrame([(0, "4111111111111111")], "doc_id long, text string"), "k").first()["text"]
+    assert got[0]["text"].replace(" ", "") == plain + "12/27" and got[1]["text"] == plain + " 123" and got[3]["text"].endswith(" EUR")
+    assert not any(x in got[6]["text"] for x in ("abc", "DEF", "ghi", "jkl", "mno", "pqr")) and got[7]["text"].endswith('" left') and "k9k9" not in got[8]["text"]
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(0, 1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
     assert n.distinct().count() == 1000 and n.where("p rlike '^[0-9]{3}$'").count() == 1000
