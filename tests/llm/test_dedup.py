@@ -1,7 +1,9 @@
 """MinHash, substrings and lines against brute force."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 
 from factloom.llm import lines, minhash, substrings
 from factloom.operators.staging import Staging
+from tests.llm.conftest import sentence
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,31 +102,42 @@ def test_window_hashes_are_polynomials():
         assert substrings.Windows.rolled(ids, n).tolist() == want
 
 
-def like_lines(corpus, similarity=0.8, distance=2, min_words=4, fuzzy_words=12):
-    """Groups of like lines by all pairs; the place of each line's kept occurrence."""
-    norm = lines.Normaliser()
+def normal(line):
+    return tuple(re.sub(r"\d", "0", w) for w in re.findall(r"[^\W_]+", line.lower()))
+
+
+def similar(a, b, least=0.8):
+    """2 LCS / (words of both) >= least, by the whole table."""
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)) - 1e-9:
+        return False
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return 2 * row[-1] >= least * (len(a) + len(b)) - 1e-9
+
+
+def like_lines(rows, min_words=4):
+    """The lines that go, by edit similarity of all pairs of lines that share a word; rows are (id, text)."""
     places = {}
-    for r in corpus:
-        if r[0] is not None:
-            for n, line in enumerate((r[1] or "").split("\n")):
-                ids = tuple(norm.ids([line])[0].tolist())
-                if len(ids) >= min_words:
-                    places.setdefault(ids, []).append((r[0], n))
+    for i, text in rows:
+        if i is not None:
+            for n, line in enumerate((text or "").split("\n")):
+                if len(normal(line)) >= min_words:
+                    places.setdefault(normal(line), []).append((i, n))
     forms = list(places)
-    sims = lines.simhashes([np.array(f, np.uint64) for f in forms]).view(np.uint64)
-    links = []
-    for i, j in combinations(range(len(forms)), 2):
-        if min(len(forms[i]), len(forms[j])) >= fuzzy_words and int(sims[i] ^ sims[j]).bit_count() <= distance and lines.edit_similarity(np.array(forms[i]), np.array(forms[j]), similarity) >= similarity:
-            links.append((i, j))
-    groups = smallest(range(len(forms)), links)
-    head = {}
+    bags = [Counter(f) for f in forms]
+    links = [(i, j) for i, j in combinations(range(len(forms)), 2) if 2 * (bags[i] & bags[j]).total() >= 0.8 * (len(forms[i]) + len(forms[j])) - 1e-9 and similar(forms[i], forms[j])]
+    groups, head = smallest(range(len(forms)), links), {}
     for i, g in groups.items():
         head[g] = min([head.get(g, (10**9, 0)), *places[forms[i]]])
     return {p for i, g in groups.items() for p in places[forms[i]] if p != head[g]}
 
 
 def test_lines_equal_brute_force(docs, corpus, spark):
-    gone = like_lines(corpus)
+    """All pairs, whatever their length; ids of rows that repeat one hold equal texts here."""
+    gone = like_lines({(r[0], r[1]) for r in corpus})
     assert len(gone) > 10
     found = lines.repeated_lines(docs, Staging(spark, "test")).collect()
     assert {(r["id"], n) for r in found for n in r["lines"]} == gone
@@ -134,6 +148,62 @@ def test_lines_equal_brute_force(docs, corpus, spark):
         assert r["text"] == want and r["h"] is not None
 
 
+def edited(rng, words, changes):
+    w = list(words)
+    for p in rng.sample(range(len(w)), changes):
+        w[p] = f"new{rng.randrange(10**9)}"
+    return w
+
+
+@pytest.mark.parametrize(("low", "high"), [(5, 9), (10, 14), (15, 31), (32, 60), (61, 200)])
+@pytest.mark.parametrize("share", [0.01, 0.2])
+def test_lines_recall_by_length(spark, low, high, share):
+    """Pairs with one changed word, and with as many as edit similarity 0.8 allows; over 0.9 of them are found."""
+    rng, rows = random.Random(low), []
+    for i in range(300):
+        words = ["the", "of", "a"] + sentence(rng, rng.randrange(low, high + 1) - 3).split()
+        rng.shuffle(words)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(edited(rng, words, max(1, int(share * len(words))))))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1 and doc_id >= 1000").count()
+    assert got >= 0.9 * 300
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows that share an id keep what only they hold."""
+    a, b, c = (sentence(random.Random(i), 12) for i in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, f"{c}\n{b}\n{c}"), (3, f"{c}\n{b}\n{c}"), (None, a), (None, None), (4, ""), (5, None)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got) == Counter([(1, a, 1, 0), (2, "", 1, 1), (2, b, 1, 0), (3, c, 3, 2), (3, c, 3, 2), (None, a, 1, 0), (None, None, 0, 0), (4, "", 0, 0), (5, None, 0, 0)])
+
+
+def test_lines_keep_clashing_columns(spark):
+    names = ["n_lines", "n_removed", "_line_id", "_line_numbers", "g_id", "g_t", "g_lines", "c0", "lines", "t"]
+    df = spark.createDataFrame([(1, "a b c d e\na b c d e", *range(10))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert tuple(lines.dedup_lines(df, counts=False).first()) == (1, "a b c d e", *range(10))
+    assert lines.dedup_lines(df).first().asDict() == {"doc_id": 1, "text": "a b c d e", "n_lines": 2, "n_removed": 1} | {n: i for i, n in enumerate(names) if i > 1}
+
+
+def test_normaliser_equals_the_pattern():
+    texts = ["", "\n", "A b_c 12\nx\n", "İstanbul ẞtraße ٣٤ ²½ 汉字 e\u0301 a", "x", "Z" * 50 + " z"]
+    words, sizes, counts = lines.Normaliser().words(texts)
+    split = [line for t in texts for line in t.split("\n")]
+    want = [normal(line) for line in split]
+    assert counts.tolist() == [t.count("\n") + 1 for t in texts] and sizes.tolist() == [len(w) for w in want]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip((x for f in want for x in f), words.tolist())) and len(set(seen.values())) == len(seen)
+
+
+def test_simhash_is_the_majority():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 20, 50)
+    words = rng.integers(0, 2**63, sizes.sum()).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    got = lines.simhashes(words, starts, sizes)
+    for a, n, h in zip(starts, sizes, got):
+        votes = [sum(int(w) >> b & 1 for w in words[a : a + n]) for b in range(64)]
+        assert int(h) == sum(1 << b for b, v in enumerate(votes) if 2 * v > n)
+
+
 def test_lines_empty(empty):
     assert lines.dedup_lines(empty).collect() == []
 
