@@ -9,12 +9,13 @@ target: within a block the order follows size, rising and falling in turn, so th
 for each other.
 
 Prefix sums are taken in two levels: inside blocks of a source, and over the counts of blocks. With n
-rows in the largest source there are about sqrt(n)/32 blocks a source, so neither level puts more than
+rows in the largest source there are about sqrt(n)/8 blocks a source, so neither level puts more than
 the order of sqrt(n) rows of a source into one task, however hot the source is.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; sources of
-size 0 get target 0 and take nothing; rows that repeat an id are separate documents; a null id counts as a document. An
-empty table gives an empty result. Other columns are carried by ``mix`` and ignored otherwise.
+size 0 get target 0 and take nothing; rows that repeat an id are separate documents, equal in size ordered by a hash of
+their columns; a null id counts as a document, dealt by its text. An empty table gives an empty result. ``mix`` carries all
+columns under any names; ``copies`` reads no others.
 """
 
 from __future__ import annotations
@@ -55,19 +56,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return filled.select("source", "source_size", F.least(F.col("cap"), F.col("top") * F.col("w")).alias("target"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row per document: ``(id, size, source, source_size, target, copies)``."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0, seed: str = "mix", rows: bool = False) -> DataFrame:
+    """One row per document: ``(id, size, source, source_size, target, copies)``, with ``rows`` also ``row``, its columns."""
     st = Staging(docs.sparkSession, "mixing")
-    sized = st.write(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sizes")
+    sized = st.write(docs.select(F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sizes")
     sources = st.write(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
     largest = sources.agg(F.max("rows")).first()[0] or 1
-    blocks = 2 ** max(0, ceil(log2(max(1.0, sqrt(largest) / 32))))
+    blocks = 2 ** max(0, ceil(log2(max(1.0, sqrt(largest) / 8))))
     goal = targets(sources.select("source", "source_size"), weights, share, max_repeat)
+    st.drop(sized)
 
     key = F.coalesce(F.col("source"), F.lit("\0"))
-    block = F.floor(uniform(F.lit(seed), F.col("id").cast("string")) * blocks).cast("int")
-    placed = sized.select("id", "size", key.alias("key"), block.alias("block"))
-    inside = W.partitionBy("key", "block").orderBy(F.when(F.col("block") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "id")
+    name = F.coalesce(F.col("id").cast("string"), F.md5(F.col("text")), F.lit(""))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).alias("source"), F.xxhash64(*hashed).alias("print"), *carried)
+    placed = read.select("id", n_words("text").alias("size"), key.alias("key"), F.floor(uniform(F.lit(seed), name) * blocks).cast("int").alias("block"), "print", *(["row"] if rows else []))
+    inside = W.partitionBy("key", "block").orderBy(F.when(F.col("block") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "id", "print")
     ranked = placed.withColumn("r", F.row_number().over(inside))
     upto = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     bases = placed.groupBy("key", "block").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(upto), F.lit(0)))
@@ -75,11 +80,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     steps = bases.join(rated, "key").select("key", "block", "base", "source", "source_size", "target", "rate", "u")
     rank = F.col("base") + F.col("r")
     crossed = F.floor(F.col("rate") * rank + F.col("u")) - F.floor(F.col("rate") * (rank - 1) + F.col("u"))
-    return ranked.join(steps, ["key", "block"]).select("id", "size", "source", "source_size", "target", crossed.cast("long").alias("copies"))
+    return ranked.join(steps, ["key", "block"]).select("id", "size", "source", "source_size", "target", crossed.cast("long").alias("copies"), *(["row"] if rows else []))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: each document's row, as many times as it is taken. Ids must be distinct."""
-    taken = copies(docs, id_col, **options).where("copies > 0").select(F.col("id").alias("_mix_id"), F.col("copies").cast("int").alias("_mix_copies"))
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: each document's row, all columns, as many times as it is taken."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    taken = copies(inner, at[id_col], at[text_col], at[source_col], rows=True, **options).where("copies > 0")
+    times = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return times.select(*[F.col(f"row.{c}").alias(n) for n, c in at.items()])

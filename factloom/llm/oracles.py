@@ -28,11 +28,11 @@ def _uniform(text: str) -> str:
 
 MIXING = f"""WITH d AS (SELECT doc_id, source, COALESCE(source, chr(0)) AS key, len({WORDS.format("coalesce(text, '')")}) AS size FROM documents),
 s AS (SELECT source, key, SUM(size)::BIGINT AS source_size, COUNT(*) AS rows FROM d GROUP BY source, key),
-b AS (SELECT CAST(pow(2, greatest(0, ceil(log2(greatest(1.0, sqrt(MAX(rows)) / 32))))) AS BIGINT) AS blocks FROM s),
+b AS (SELECT CAST(pow(2, greatest(0, ceil(log2(greatest(1.0, sqrt(MAX(rows)) / 8))))) AS BIGINT) AS blocks FROM s),
 w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[(ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * SUM(source_size) OVER () - COALESCE(SUM(cap) OVER q, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER q, 0)) AS level FROM w WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, key, source_size, LEAST(cap, MAX(level) OVER () * w) AS target, {_uniform("'mix:offset:' || key")} AS u FROM l),
-p AS (SELECT d.*, CAST(floor({_uniform("'mix:' || doc_id")} * blocks) AS BIGINT) AS block FROM d, b),
+p AS (SELECT d.*, CAST(floor({_uniform("'mix:' || COALESCE(doc_id::VARCHAR, md5(text), '')")} * blocks) AS BIGINT) AS block FROM d, b),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id) AS r FROM p),
 c AS (SELECT r.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r JOIN t USING (key))
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * r + u) - floor(rate * (r - 1) + u)) AS BIGINT) AS taken, source, CAST(floor(rate * r + u) - floor(rate * (r - 1) + u) AS BIGINT) AS copies FROM c"""

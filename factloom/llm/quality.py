@@ -196,17 +196,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     return rules
 
 
-def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with its statistics, ``base_failed``, ``rule`` (0: none) and ``kept``."""
-    judged = statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+def _judged(docs: DataFrame, rules: list[Rule], text_col: str) -> DataFrame:
+    """The columns of ``docs`` as ``c0``, ``c1`` ..., its statistics, ``base_failed``, ``rule`` and ``kept``."""
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    measured = statistics(inner, f"c{docs.columns.index(text_col)}")
+    judged = measured.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """``docs`` with its statistics, ``base_failed``, ``rule`` (0: none) and ``kept``, which replace columns of these names."""
+    new = (*STATS, "base_failed", "rule", "kept")
+    return _judged(docs, rules, text_col).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new], *new)
+
+
 def accepted(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept.
+    """The rows of ``docs`` that are kept, with its own columns whatever their names.
 
     The row number is there only because a filter isn't moved below a projection that holds one: moved, it would
     carry a copy of every statistic for each place that names it.
     """
-    numbered = judge(docs, rules, text_col).withColumn("_at", F.monotonically_increasing_id())
-    return numbered.where(F.col("kept") & (F.col("_at") >= 0)).select([F.col(f"`{c}`") for c in docs.columns])
+    numbered = _judged(docs, rules, text_col).withColumn("_at", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("_at") >= 0)).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

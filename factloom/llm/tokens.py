@@ -12,6 +12,7 @@ document d of part p starts at ``base[p] + offsets[d]``. Readers map the files i
 
 Tokenising. Word tokenizers that drop white space give a text the ids of its words in order, so a
 worker keeps the ids of the words it has seen, up to ``CACHED_WORDS``, and encodes only new ones, in batches.
+A text is first cut around the tokenizer's special tokens, which have their own ids as in the library's plain call.
 
 Defined cases: null or empty text has no ids but the end id; rows that repeat an id are neighbours, each
 a document of its own; a null id sorts first and is written as the smallest 64-bit number, null when read; an empty table gives no parts
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -55,7 +57,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.inner.get_added_tokens_decoder().items() if t.special}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.inner.get_added_tokens_decoder().values()):
+            raise ValueError("the tokenizer's added tokens aren't plain literals")
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.inner.encode_special_tokens = True  # words hold none of them once the text is cut
         self.known: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         self.mark = self._ids("0")
@@ -121,7 +127,15 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text, as unsigned 32-bit integers."""
-        words = (text or "").encode("utf-8", "replace").lower().split()
+        text = text or ""
+        if self.cut and self.cut.search(text):
+            parts = [x for x in self.cut.split(text) if x]
+            return np.frombuffer(b"".join(self.special[x] if x in self.special else self._plain(x) for x in parts), "<u4")
+        return np.frombuffer(self._plain(text), "<u4")
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
+        words = text.encode("utf-8", "replace").lower().split()
         if len(self.known) > CACHED_WORDS:  # the words met first are the frequent ones
             self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
         parts = list(map(self.known.get, words))
@@ -133,7 +147,7 @@ class WordTokenizer:
             for i in places:
                 parts[i] = self.known[words[i]]
             data = b"".join(parts)
-        return np.frombuffer(data, "<u4")
+        return data
 
 
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:

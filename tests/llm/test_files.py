@@ -13,13 +13,12 @@ from factloom.llm import media, packing, tokens
 from factloom.operators.staging import Staging
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "0", "a0b 0 00", "it's 'S we'LL x's.'t", "İstanbul ẞ ΑΣ ς é ́x nb z", "<|endoftext|> a<|startoftext|>b", "汉字 漢 0字 ½ ² ٠ 1２3", "tab\tnew\nline\x0b\x0c\r\x1c\x85 q", "Ünïcode ÉTÉ straße ª º µm ÿ Œuvre..,!"]
+ODD = ["", "0", "a0b 0 00", "it's 'S we'LL x's.'t", "İstanbul ẞ ΑΣ ς é ́x nb z", "<|endoftext|> a<|startoftext|>b", "<|ENDOFTEXT|>x<|endoftext|><|endoftext|>'s <|endoftext| >", "汉字 漢 0字 ½ ² ٠ 1２3", "tab\tnew\nline\x0b\x0c\r\x1c\x85 q", "Ünïcode ÉTÉ straße ª º µm ÿ Œuvre..,!"]
 
 
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 

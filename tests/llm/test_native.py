@@ -166,3 +166,25 @@ def test_mix_emits_copies(docs, empty):
     want = {r["id"]: r["copies"] for r in mixing.copies(one).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in mixing.mix(one).groupBy("doc_id").count().collect()} == want
     assert mixing.copies(empty).collect() == [] and mixing.mix(empty).columns == empty.columns
+
+
+def test_mix_keeps_rows_of_repeated_ids_and_clashing_names(spark):
+    """Rows that share an id, or have none, are documents of their own; each is taken as often as the mix says."""
+    rows = [(i if i % 5 else None, f"text {i % 7} of some words " * (i % 9), "s", i, i, i) for i in range(40)] + [(1, "twice here", "s", 7, 7, 7)] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_copies int, row int, copies int")
+    out = mixing.mix(df)
+    got = Counter(map(tuple, out.collect()))
+    assert out.columns == df.columns and all(n <= 2 * Counter(rows)[r] for r, n in got.items())
+    words = sum(len(WORD.findall(r[1])) for r in rows)
+    taken = sum(n * len(WORD.findall(r[1])) for r, n in got.items())
+    assert abs(taken - 1.5 * words) <= max(len(WORD.findall(r[1])) for r in rows)
+    assert got == Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_quality_keeps_clashing_columns(spark):
+    names = ["n_words", "kept", "rule", "_w", "_t", "_l", "_g", "_at", "c0", "base_failed"]
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, *range(10)), (2, "short", *range(10)), (3, None, *range(10))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert [tuple(r) for r in quality.accepted(df, []).collect()] == [(1, text, *range(10))]
+    judged = {r["doc_id"]: r for r in quality.judge(df, []).collect()}
+    assert judged[1]["n_words"] == 60 and judged[1]["kept"] and not judged[2]["kept"] and judged[3]["n_words"] == 0 and judged[3]["_w"] == 3
