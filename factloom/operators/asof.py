@@ -105,9 +105,15 @@ def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_time: str,
 def interval_join(points: DataFrame, spans: DataFrame, key: list[str], time: str, start: str, end: str, width_days: int) -> DataFrame:
     """Points with the half-open spans that hold them, by an equi-join on key and time bucket.
 
-    A span goes to every bucket of ``width_days`` that it touches, a point to one, so each pair is found once.
+    A span goes to every bucket of ``width_days`` that it touches among those of the points, a point to one, so each pair is
+    found once. A NULL start or end leaves the span open on that side.
     """
     number = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86_400 * width_days))
     p = points.withColumn("_b", number(time))
-    s = spans.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(number(start), number(end))))
-    return p.join(s, [*key, "_b"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b")
+    reach = p.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).first()
+    lo, hi = (F.lit(reach["lo"] or 0), F.lit(reach["hi"] or 0))
+    first, last = F.greatest(F.coalesce(number(start), lo), lo), F.least(F.coalesce(number(end), hi), hi)
+    live = spans.where(F.col(start).isNull() | F.col(end).isNull() | (F.col(start) < F.col(end))).withColumns({"_f": first, "_l": last}).where("_f <= _l")
+    s = live.withColumn("_b", F.explode(F.sequence("_f", "_l"))).drop("_f", "_l")
+    inside = (F.col(start).isNull() | (F.col(time) >= F.col(start))) & (F.col(end).isNull() | (F.col(time) < F.col(end)))
+    return p.join(s, [*key, "_b"]).where(inside).drop("_b")

@@ -50,7 +50,7 @@ def baselines(rows: DataFrame, key: list[str], order: list[str], value: str, sea
     past = by.rowsBetween(W.unboundedPreceding, -1)
     n = F.count(value).over(past)
     last, first = F.lag(value).over(by), F.first(value).over(past)
-    return rows.withColumns({"persistence": last, "seasonal_naive": F.lag(value, season).over(by), "drift": F.when(n > 1, last + (last - first) / (n - 1)), "historical_mean": F.avg(value).over(past)})
+    return rows.withColumns({"persistence": last, "seasonal_naive": F.lag(value, season).over(by), "drift": F.when(n > 1, last.cast("double") + (last - first).cast("double") / (n - 1)), "historical_mean": F.sum(value).over(past).cast("double") / n})
 
 
 def autoregression(rows: DataFrame, key: str, order: str, value: str, lags: int) -> DataFrame:

@@ -67,38 +67,6 @@ def failure_regions(rows: DataFrame, dimensions: list[str], bins: int, least: in
     return rows.select("failed", cells.alias("c")).groupBy("c.dimension", "c.bin").agg(F.count("*").alias("n"), F.avg(F.col("failed").cast("double")).alias("rate")).where(F.col("n") >= least)
 
 
-def group_time_effects(panel: DataFrame) -> DataFrame:
-    """ATT(g, t): change since the period before treatment of a cohort, less that of the never treated.
-
-    ``panel`` is ``(unit, period, y, cohort)`` with consecutive integer periods, cohort NULL if never treated.
-    """
-    base = panel.select("unit", F.col("period").alias("b"), F.col("y").alias("y0"))
-    cohorts = panel.where("cohort is not null").select("cohort").distinct().withColumn("b", F.col("cohort") - 1)
-    treated = panel.where("cohort is not null").withColumn("b", F.col("cohort") - 1).join(base, ["unit", "b"]).groupBy("cohort", "period").agg(F.avg(F.col("y") - F.col("y0")).alias("d1"), F.count("*").alias("n_treated"))
-    never = panel.where("cohort is null").select("unit", "period", "y")
-    control = base.join(F.broadcast(cohorts), "b").join(never, "unit").groupBy("cohort", "period").agg(F.avg(F.col("y") - F.col("y0")).alias("d0"), F.count("*").alias("n_control"))
-    return treated.join(control, ["cohort", "period"]).select("cohort", "period", (F.col("d1") - F.col("d0")).alias("att"), "n_treated", "n_control")
-
-
-def event_time(effects: DataFrame) -> DataFrame:
-    """Effects by time since treatment, weighted by treated units."""
-    return effects.groupBy((F.col("period") - F.col("cohort")).alias("event_time")).agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("att"), F.sum("n_treated").alias("n_treated"))
-
-
-def ols(rows: DataFrame, y: str, x: list[str]) -> dict[str, float]:
-    """Least squares with an intercept, by cross-products: one aggregation, then a system of the columns' size."""
-    import numpy as np
-
-    names = ["_one", *x, y]
-    z = rows.select(F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in [*x, y]]).dropna()
-    got = z.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
-    k = len(x) + 1
-    xx = np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
-    xy = np.array([got[f"{i}_{k}"] or 0.0 for i in range(k)], float)
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    return dict(zip(["intercept", *x], map(float, beta)))
-
-
 def regret_ranking(outcomes: DataFrame) -> DataFrame:
     """Policies by expected, worst and largest regret over scenarios; outcomes are ``(policy, scenario, p, value)``."""
     best = W.partitionBy("scenario")

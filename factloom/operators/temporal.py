@@ -74,4 +74,5 @@ def seasonal_difference(rows: DataFrame, key: list[str], order: list[str], value
 def complete_years(rows: DataFrame, key: list[str], time: str, value: str, months: int = 12) -> DataFrame:
     """Year means of the years that have every month."""
     y = F.year(time)
-    return rows.groupBy(*key, y.alias("year")).agg(F.count_distinct(F.month(time)).alias("months"), F.avg(value).alias("mean")).where(F.col("months") == months).drop("months")
+    mean = F.sum(value).cast("double") / F.count(value)  # exact where the value is a decimal
+    return rows.groupBy(*key, y.alias("year")).agg(F.count_distinct(F.month(time)).alias("months"), mean.alias("mean")).where(F.col("months") == months).drop("months")

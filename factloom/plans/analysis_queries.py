@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom import streaming
-from factloom.operators import beliefs, crosswalk, identity, products, stats
+from factloom.operators import beliefs, causal, crosswalk, econometrics, identity, products, stats
 from factloom.operators.staging import Staging
 from factloom.plans.tables import SUPPLIES_SQL, money, read, supplies
 
@@ -60,7 +60,8 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT a.source, b.target, GREATEST(a.valid_from, b.valid_from) AS valid_from, LEAST(a.valid_to, b.valid_to) AS valid_to,
-CASE WHEN COUNT(*) = COUNT(b.weight) THEN SUM(a.weight * b.weight) END AS weight FROM {XW} a JOIN {XW2} b ON a.target = b.source GROUP BY 1, 2, 3, 4""")
+CASE WHEN COUNT(*) = COUNT(b.weight) THEN SUM(a.weight * b.weight) END AS weight FROM (SELECT source, target, valid_from, valid_to, COALESCE(weight, CASE WHEN COUNT(*) OVER (PARTITION BY source) = 1 THEN 1.0 END) AS weight FROM {XW}) a
+JOIN (SELECT source, target, valid_from, valid_to, COALESCE(weight, CASE WHEN COUNT(*) OVER (PARTITION BY source) = 1 THEN 1.0 END) AS weight FROM {XW2}) b ON a.target = b.source GROUP BY 1, 2, 3, 4""")
 def crosswalk_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosswalk.compose(xw(spark, sf_dir), xw2(spark, sf_dir))
 
@@ -138,10 +139,10 @@ def cardinality_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.refuse_cardinality(claims(spark, sf_dir), "subject", "value").select("subject", "namespace", "value", "dataset")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS source, l_linenumber AS target, l_shipdate AS valid_from, l_shipdate + INTERVAL 2 DAY AS valid_to, l_orderkey AS k FROM lineitem WHERE l_quantity > 40)
+@query("""WITH r AS (SELECT l_suppkey AS source, l_linenumber AS target, l_shipdate AS valid_from, l_shipdate + INTERVAL 2 DAY AS valid_to, l_orderkey AS k FROM lineitem)
 SELECT DISTINCT k, source, target FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE b.source = a.source AND b.target <> a.target AND b.valid_from < a.valid_to AND a.valid_from < b.valid_to)""")
 def link_mapping_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("target"), F.col("l_shipdate").alias("valid_from"), (F.col("l_shipdate") + F.expr("interval 2 days")).alias("valid_to"), F.col("l_orderkey").alias("k"))
+    r = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("target"), F.col("l_shipdate").alias("valid_from"), (F.col("l_shipdate") + F.expr("interval 2 days")).alias("valid_to"), F.col("l_orderkey").alias("k"))
     return identity.overlapping_conflicts(r, "source", "target").select("k", "source", "target").distinct()
 
 
@@ -165,18 +166,11 @@ def agreement_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.agreement(identity.blocked_pairs(records, block_keys(spark, sf_dir)), records, ["segment"], {"name": (1, 2)})
 
 
-@query()
-def fs_em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = Staging(spark, "linkage").write(agreement_patterns(spark, sf_dir), "patterns")
-    model = identity.fellegi_sunter(patterns, ["segment", "name"])
-    return patterns.withColumn("weight", F.round(identity.match_weight(model), 6))
-
-
 TOKENS = "(SELECT item_id AS rid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark)"
 
 
 @query(f"""WITH t AS {TOKENS}, tf AS (SELECT rid, token, COUNT(*) AS tf FROM t GROUP BY ALL), d AS (SELECT token, COUNT(*) AS df FROM tf GROUP BY 1),
-v AS (SELECT rid, token, tf * ln((SELECT COUNT(DISTINCT rid) FROM t)::DOUBLE / df) AS w FROM tf JOIN d USING (token)), n AS (SELECT rid, sqrt(SUM(w * w)) AS norm FROM v GROUP BY 1)
+v AS (SELECT rid, token, tf * (ln((1 + (SELECT COUNT(DISTINCT rid) FROM t))::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN d USING (token)), n AS (SELECT rid, sqrt(SUM(w * w)) AS norm FROM v GROUP BY 1)
 SELECT a.rid AS a, b.rid AS b, ROUND(COALESCE(SUM(x.w * y.w), 0) / (ANY_VALUE(a.norm) * ANY_VALUE(b.norm)), 9) AS cosine FROM n a JOIN n b ON b.rid = a.rid + 1 LEFT JOIN v x ON x.rid = a.rid LEFT JOIN v y ON y.rid = b.rid AND y.token = x.token GROUP BY 1, 2""")
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
@@ -251,10 +245,10 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT qid, id, rank, ROUND(distance, 6) AS distance FROM (SELECT q.vec_id AS qid, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance,
-ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (0, 7, 42, 99)) WHERE rank <= 10""")
+ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
 def nearest_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings")
-    q = v.where(F.col("vec_id").isin(0, 7, 42, 99)).select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
     return products.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 10).withColumn("distance", F.round("distance", 6))
 
 
@@ -269,16 +263,20 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH l AS (SELECT 'supplier:' || s_suppkey AS entity FROM supplier WHERE s_acctbal < 0), h AS (SELECT object AS entity, SUM(share) AS held FROM {SHARES} WHERE subject IN (FROM l) GROUP BY 1)
-SELECT entity, 0 AS round FROM l UNION ALL SELECT entity, 1 FROM h WHERE held >= 0.25""")
+SELECT entity, 0 AS round, 'designated' AS basis FROM l UNION ALL SELECT entity, 1, 'ownership_aggregate' FROM h WHERE held >= 0.25 - 1e-12 AND held > 0""")
 def blocking_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity"))
     return products.aggregate_ownership(shares(spark, sf_dir), listed, 0.25, Staging(spark, "screen"))
 
 
-@query(f"""SELECT object AS entity, subject AS listed, 1 AS hop, ROUND(share, 9) AS share FROM {SHARES} WHERE subject IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_acctbal < 0) AND share >= 0.05""")
+@query(f"""WITH l AS (SELECT 'supplier:' || s_suppkey AS entity FROM supplier WHERE s_acctbal < 0), s AS (SELECT 'part:' || p_partkey AS subject FROM part UNION ALL FROM l),
+m AS (SELECT object AS subject, subject AS listed, 1 AS hop, share FROM {SHARES} WHERE subject IN (FROM l) AND share >= 0.05 UNION ALL SELECT entity, entity, 0, 1.0 FROM l)
+SELECT subject, listed, hop, ROUND(share, 9) AS share, 'match' AS status FROM m UNION ALL SELECT subject, NULL, NULL, NULL, 'clear' FROM s WHERE subject NOT IN (SELECT subject FROM m)""")
 def screen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers screened for listed suppliers above them."""
     listed = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity"))
-    return products.screen(shares(spark, sf_dir), listed, 2, 0.05, Staging(spark, "screen")).withColumn("share", F.round("share", 9))
+    subjects = read(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity")).unionByName(listed)
+    return products.screen(shares(spark, sf_dir), listed, subjects, 2, Staging(spark, "screen"), 0.05).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH p AS (SELECT 'out' AS direction, predicate, object AS other, COUNT(*) AS n FROM {SUPPLIES_SQL} WHERE subject = 'supplier:5' GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY direction, predicate ORDER BY n DESC, other) AS k FROM p)
@@ -361,17 +359,21 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATT = f"""p AS {PANEL}, t AS (SELECT a.cohort, a.period, AVG(a.y - b.y) AS d1, COUNT(*) AS n_treated FROM p a JOIN p b ON a.unit = b.unit AND b.period = a.cohort - 1 GROUP BY ALL),
 k AS (SELECT g.cohort, a.period, AVG(a.y - b.y) AS d0, COUNT(*) AS n_control FROM (SELECT DISTINCT cohort FROM p WHERE cohort IS NOT NULL) g JOIN p b ON b.period = g.cohort - 1 AND b.cohort IS NULL JOIN p a ON a.unit = b.unit AND a.cohort IS NULL GROUP BY ALL),
-att AS (SELECT cohort, period, d1 - d0 AS att, n_treated, n_control FROM t JOIN k USING (cohort, period))"""
+att AS (SELECT cohort, period, d1 - d0 AS att, n_treated, n_control FROM t JOIN k USING (cohort, period) WHERE period <> cohort - 1)"""
 
 
 @query(f"WITH {ATT} SELECT cohort, period, ROUND(att, 8) AS att, n_treated, n_control FROM att")
 def att_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.group_time_effects(panel(spark, sf_dir)).withColumn("att", F.round("att", 8))
+    """Group-time effects with never-treated controls."""
+    cells = causal.att_gt(panel(spark, sf_dir), Staging(spark, "did"), "never_treated").cells
+    return cells.select(F.col("g").alias("cohort"), F.col("t").alias("period"), F.round("att", 8).alias("att"), "n_treated", "n_control")
 
 
 @query(f"WITH {ATT} SELECT period - cohort AS event_time, ROUND(SUM(att * n_treated) / SUM(n_treated), 8) AS att, SUM(n_treated)::BIGINT AS n_treated FROM att GROUP BY 1")
 def event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.event_time(stats.group_time_effects(panel(spark, sf_dir))).withColumn("att", F.round("att", 8))
+    st = Staging(spark, "did")
+    by_e, _ = causal.event_time(causal.att_gt(panel(spark, sf_dir), st, "never_treated"), st, -100, 100)
+    return by_e.select(F.col("e").alias("event_time"), F.round("att", 8).alias("att"), "n_treated")
 
 
 @query("""WITH o AS (SELECT p_brand AS policy, p_type AS scenario, 1.0 AS p, SUM(CAST(p_retailprice AS DECIMAL(18,2)))::DOUBLE AS value FROM part GROUP BY ALL), r AS (SELECT *, MAX(value) OVER (PARTITION BY scenario) - value AS g FROM o)
@@ -395,8 +397,8 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ROUND(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, ROUND(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem")
 def ols_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = stats.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
-    return spark.range(1).select(F.round(F.lit(b["intercept"]), 4).alias("intercept"), F.round(F.lit(b["l_quantity"]), 6).alias("slope"))
+    b = econometrics.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["const", "l_quantity"]).params
+    return spark.range(1).select(F.round(F.lit(b["const"]), 4).alias("intercept"), F.round(F.lit(b["l_quantity"]), 6).alias("slope"))
 
 
 # Streams, each run to the end over the event file

@@ -147,17 +147,18 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"e AS (SELECT DISTINCT subject AS a, object AS b FROM {SUPPLIES_SQL} UNION SELECT object, subject FROM {SUPPLIES_SQL} WHERE l_ok)".replace(" WHERE l_ok", ""), "n AS (SELECT DISTINCT a AS node FROM e)", "f AS (SELECT a, COUNT(*) AS fan FROM e GROUP BY a)", "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT COUNT(*) FROM n) AS rank FROM n)"]
+    steps = [f"e AS (SELECT subject AS a, object AS b, SUM(greatest(weight, 0))::DOUBLE AS w FROM {EDGES_SQL} WHERE subject <> object GROUP BY 1, 2)", f"n AS (SELECT subject AS node FROM {EDGES_SQL} UNION SELECT object FROM {EDGES_SQL})", "f AS (SELECT a, SUM(w) AS t FROM e GROUP BY a)", "c AS (SELECT COUNT(*) AS n FROM n)", "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT n FROM c) AS rank FROM n)"]
     for i in range(1, rounds + 1):
-        steps.append(f"r{i} AS (SELECT n.node, 0.15 / (SELECT COUNT(*) FROM n) + 0.85 * COALESCE(SUM(r.rank / f.fan), 0) AS rank FROM n LEFT JOIN e ON e.b = n.node LEFT JOIN f ON f.a = e.a LEFT JOIN r{i - 1} r ON r.node = e.a GROUP BY n.node)")
-    return f"WITH {', '.join(steps)} SELECT node, ROUND(rank, 9) AS rank FROM r{rounds}"
+        steps.append(f"l{i} AS (SELECT SUM(rank) AS lost FROM r{i - 1} WHERE node NOT IN (SELECT a FROM e))")
+        steps.append(f"g{i} AS (SELECT e.b AS node, SUM(r.rank * e.w / f.t) AS got FROM e JOIN f ON f.a = e.a JOIN r{i - 1} r ON r.node = e.a GROUP BY e.b)")
+        steps.append(f"r{i} AS (SELECT n.node, (0.15 + 0.85 * lost) / (SELECT n FROM c) + 0.85 * COALESCE(got, 0) AS rank FROM n CROSS JOIN l{i} LEFT JOIN g{i} g ON g.node = n.node)")
+    return f"WITH {', '.join(steps)} SELECT node, ROUND(rank, 12) AS rank FROM r{rounds}"
 
 
 @query(_pagerank_sql(5))
 def pagerank_k_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = supplies(spark, sf_dir).select("subject", "object")
-    both = e.unionByName(e.select(F.col("object").alias("subject"), F.col("subject").alias("object")))
-    return graph.pagerank(both, 5, Staging(spark, "graph")).select("node", F.round("rank", 9).alias("rank"))
+    """Weighted PageRank of suppliers, parts, customers and orders after five rounds."""
+    return graph.pagerank(edges(spark, sf_dir), 5, Staging(spark, "graph"), tolerance=0.0).select("node", F.round("rank", 12).alias("rank"))
 
 
 SAME = "(SELECT DISTINCT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 7 IN (1, 2, 4))"
@@ -276,6 +277,6 @@ def seasonal_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.seasonal_difference(rows, ["p"], ["y", "m"], "v", 12, True).select("p", "y", "m", F.round("diff", 9).alias("diff"))
 
 
-@query("SELECT o_orderpriority, year(o_orderdate) AS year, ROUND(AVG(CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE), 4) AS mean FROM orders GROUP BY ALL HAVING COUNT(DISTINCT month(o_orderdate)) = 12")
+@query("SELECT o_orderpriority, year(o_orderdate) AS year, ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE / COUNT(*), 4) AS mean FROM orders GROUP BY ALL HAVING COUNT(DISTINCT month(o_orderdate)) = 12")
 def complete_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.complete_years(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice").withColumn("mean", F.round("mean", 4))
+    return temporal.complete_years(read(spark, sf_dir, "orders").withColumn("o_totalprice", money("o_totalprice")), ["o_orderpriority"], "o_orderdate", "o_totalprice").withColumn("mean", F.round("mean", 4))

@@ -22,13 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""SELECT p, y, m, LAG(v::DOUBLE) OVER w AS persistence, LAG(v::DOUBLE, 12) OVER w AS seasonal_naive, ROUND(AVG(v::DOUBLE) OVER q, 4) AS historical_mean,
-ROUND(CASE WHEN COUNT(v) OVER q > 1 THEN LAG(v::DOUBLE) OVER w + (LAG(v::DOUBLE) OVER w - FIRST_VALUE(v::DOUBLE) OVER q) / (COUNT(v) OVER q - 1) END, 4) AS drift
+@query(f"""SELECT p, y, m, LAG(v::DOUBLE) OVER w AS persistence, LAG(v::DOUBLE, 12) OVER w AS seasonal_naive, ROUND((SUM(v) OVER q)::DOUBLE / COUNT(v) OVER q, 4) AS historical_mean,
+ROUND(CASE WHEN COUNT(v) OVER q > 1 THEN (LAG(v) OVER w)::DOUBLE + (LAG(v) OVER w - FIRST_VALUE(v) OVER q)::DOUBLE / (COUNT(v) OVER q - 1) END, 4) AS drift
 FROM {MONTHS} WINDOW w AS (PARTITION BY p ORDER BY y, m), q AS (PARTITION BY p ORDER BY y, m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def baseline_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = monthly(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
-    out = series.baselines(rows, ["p"], ["y", "m"], "v", 12)
-    return out.select("p", "y", "m", "persistence", "seasonal_naive", F.round("historical_mean", 4).alias("historical_mean"), F.round("drift", 4).alias("drift"))
+    out = series.baselines(monthly(spark, sf_dir), ["p"], ["y", "m"], "v", 12)
+    return out.select("p", "y", "m", F.col("persistence").cast("double").alias("persistence"), F.col("seasonal_naive").cast("double").alias("seasonal_naive"), F.round("historical_mean", 4).alias("historical_mean"), F.round("drift", 4).alias("drift"))
 
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from factloom.functions import identifiers, numeric, text
-from factloom.operators import asof, beliefs, components, crosswalk, evidence, graph, identity, kernels, products, stats, temporal
+from factloom.operators import asof, beliefs, components, crosswalk, econometrics, evidence, graph, identity, kernels, products, resolution, stats, temporal
 from factloom.operators.staging import Staging
 from factloom.sources import readers
 from factloom.sources.store import Store
@@ -96,8 +96,10 @@ def test_components_and_clusters(spark):
 def test_paths_and_pagerank(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "subject string, object string")
     assert rows(graph.shortest_paths(e, "a", 3, Staging(spark, "t"))) == [("a", 0, None), ("b", 1, "a"), ("c", 1, "a"), ("d", 2, "b"), ("e", 3, "d")]
-    ranks = dict(rows(graph.pagerank(e, 30, Staging(spark, "t"))))
+    ranks = dict(rows(graph.pagerank(e, 30, Staging(spark, "t"), weighted=False)))
     assert sum(ranks.values()) == pytest.approx(1) and ranks["d"] > ranks["b"] == pytest.approx(ranks["c"])
+    loops = e.withColumn("weight", F.lit(2.0)).unionByName(spark.createDataFrame([("a", "a", 9.0), ("a", "b", -5.0)], "subject string, object string, weight double"))
+    assert dict(rows(graph.pagerank(loops, 30, Staging(spark, "t")))) == pytest.approx(ranks)
 
 
 def test_vintages_with_nulls(spark):
@@ -130,10 +132,21 @@ def test_identifier_links(spark):
 
 
 def test_linkage_learns(spark):
-    p = spark.createDataFrame([(2, 2)] * 30 + [(0, 0)] * 300 + [(2, 0)] * 15 + [(0, None)] * 5, "x int, y int")
-    model = identity.fellegi_sunter(p, ["x", "y"])
-    w = {(r["x"], r["y"]): r["w"] for r in p.withColumn("w", identity.match_weight(model)).collect()}
-    assert w[2, 2] > 0 > w[0, 0] and w[2, 2] > w[2, 0]
+    model = resolution.FellegiSunter({"x": 3, "y": 3}).fit({"22": 30, "00": 300, "20": 15, "0_": 5})
+    assert model.converged and model.weight("22") > 0 > model.weight("00") and model.weight("22") > model.weight("20")
+    assert model.probability("22") > 0.9 > 0.1 > model.probability("00") and model.weight("0_") == pytest.approx(model.weight("0_"))
+
+
+def test_constrained_clusters(spark):
+    """Links join in falling probability unless size, reviews, identifiers, types or unlike pairs forbid it."""
+    scored = spark.createDataFrame([(1, 2, 0.99), (2, 3, 0.98), (1, 3, 0.1), (4, 5, 0.99), (6, 7, 0.99), (8, 9, 0.99), (10, 11, 0.96), (11, 12, 0.97)], "a long, b long, probability double")
+    facts = [(i, "firm" if i != 9 else "person", [("tax", f"T{i}")] if i in (4, 5) else []) for i in range(1, 14)]
+    records = spark.createDataFrame(facts, "rid long, entity_type string, ids array<struct<namespace:string,value:string>>")
+    reviews = spark.createDataFrame([(6, 7, False), (12, 13, True)], "a long, b long, accepted boolean")
+    clusters, links = resolution.cluster(scored, records, Staging(spark, "t"), max_size=3, unique=["tax"], reviews=reviews)
+    assert rows(resolution.members_of(clusters).where("size > 1"), "members") == [([1, 2],), ([11, 12, 13],)]
+    assert {(r[0], r[1]): r[3] for r in rows(links)} == {(1, 2): "used", (2, 3): "transitivity_conflict", (4, 5): "identifier_conflict", (6, 7): "rejected_review", (8, 9): "entity_type_conflict", (10, 11): "max_cluster_size", (11, 12): "used", (12, 13): "used"}
+    assert sorted(tuple(r) for r in resolution.resolved_view(clusters).collect()) == [(1, 1), (2, 1), (11, 11), (12, 11), (13, 11)]
 
 
 def test_clearing(spark):
@@ -146,7 +159,9 @@ def test_clearing(spark):
 def test_ownership_adds_up(spark):
     own = spark.createDataFrame([("x", "a", 0.3), ("y", "a", 0.3), ("a", "b", 0.5), ("b", "c", 0.4)], "subject string, object string, share double")
     listed = spark.createDataFrame([("x",), ("y",)], "entity string")
-    assert rows(products.aggregate_ownership(own, listed, 0.5, Staging(spark, "t"))) == [("a", 1), ("b", 2), ("x", 0), ("y", 0)]
+    assert rows(products.aggregate_ownership(own, listed, 0.5, Staging(spark, "t")), "entity", "round") == [("a", 1), ("b", 2), ("x", 0), ("y", 0)]
+    control = spark.createDataFrame([("b", "d"), ("c", "e")], "controller string, controlled string")
+    assert rows(products.aggregate_ownership(own, listed, 0.6, Staging(spark, "t"), control), "entity", "basis") == [("a", "ownership_aggregate"), ("x", "designated"), ("y", "designated")]
     assert dict(rows(kernels.look_through(own, listed, Staging(spark, "t"))))["c"] == pytest.approx(0.12)
 
 
@@ -154,8 +169,8 @@ def test_scores_and_ranks(spark):
     r = spark.createDataFrame([(0.0, 0), (1.0, 1), (0.95, 1), (0.5, 0)], "p double, y int")
     assert rows(stats.calibration_curve(r, 10), "bin", "n") == [(0, 1), (5, 1), (9, 2)]
     assert stats.spearman(r.withColumn("k", F.lit(1)), ["k"], "p", "p").first()["rho"] == pytest.approx(1)
-    b = stats.ols(spark.range(50).select(F.col("id").alias("x"), (3 + 2 * F.col("id")).alias("y")), "y", ["x"])
-    assert b["intercept"] == pytest.approx(3) and b["x"] == pytest.approx(2)
+    b = econometrics.ols(spark.range(50).select(F.col("id").alias("x"), (3 + 2 * F.col("id")).alias("y")), "y", ["const", "x"]).params
+    assert b["const"] == pytest.approx(3) and b["x"] == pytest.approx(2)
 
 
 def test_check_digits(spark):
@@ -168,7 +183,7 @@ def test_names(spark):
     r = spark.createDataFrame([("The A.B.C. Trading Co., Ltd.", "O'Neil, Dr. Mary Jr."), (None, ""), ("Inc", "Solo")], "org string, person string")
     got = r.select(text.organization(F.col("org")).alias("o"), text.person(F.col("person")).alias("p")).collect()
     assert got[0]["o"] == "a b c trading" or got[0]["o"] == "abc trading"
-    assert tuple(got[0]["p"]) == ("mary", "oneil") and got[1]["o"] is None and tuple(got[2]["p"]) == (None, "solo")
+    assert tuple(got[0]["p"]) == ("mary oneil", "mary", "oneil", "m") and got[1]["o"] is None and tuple(got[2]["p"]) == ("solo", "solo", "solo", "")
     assert text.jaro("martha", "marhta") == pytest.approx(0.944444, abs=1e-6) and text.jaro("", "x") == 0
 
 
@@ -237,7 +252,7 @@ def test_chains_longer_than_the_old_caps(spark):
     chain = lambda n, w: spark.createDataFrame([(f"n{i}", f"n{i + 1}", w) for i in range(n)], "subject string, object string, share double")
     first = spark.createDataFrame([("n0",)], "entity string")
     assert dict(rows(kernels.look_through(chain(13, 0.9), first, Staging(spark, "t"))))["n13"] == pytest.approx(0.9**13)
-    assert dict(rows(products.aggregate_ownership(chain(23, 1.0), first, 0.5, Staging(spark, "t"))))["n23"] == 23
+    assert dict(rows(products.aggregate_ownership(chain(23, 1.0), first, 0.5, Staging(spark, "t")), "entity", "round"))["n23"] == 23
     for short in (lambda: kernels.look_through(chain(13, 0.9), first, Staging(spark, "t"), max_rounds=5), lambda: products.aggregate_ownership(chain(23, 1.0), first, 0.5, Staging(spark, "t"), max_rounds=5)):
         with pytest.raises(RuntimeError):
             short()
