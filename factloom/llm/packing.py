@@ -5,7 +5,9 @@ Round 0 packs the pieces of each partition in blocks of at most ``BLOCK``, best
 short of the sequence length by no more than ``slack`` are emitted; the others become items of the
 next round, in which ``fan`` neighbouring groups meet in one and are packed by best fit again, with
 twice the slack. After about log(groups)/log(fan) rounds one group is left and all its bins are emitted. A group
-only ever holds the underfull bins of its ``fan`` children, never their pieces' texts or ids.
+only ever holds the underfull bins of its ``fan`` children, never their pieces' texts or ids. Where a round leaves
+over ``worth`` of the underfull bins as they were, as with documents too large for any two to share a sequence, the bins
+are emitted there and then, so that groups don't grow up the tree without merging.
 
 Best fit runs on counts by free space: a bit mask of the free spaces that open bins have gives the
 tightest one in constant time.
@@ -98,7 +100,7 @@ def _merger(level: int, fan: int, room: int, slack: int):
     return merged
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, slack: int = 4, fan: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, slack: int = 4, fan: int = 8, worth: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``."""
     st = Staging(docs.sparkSession, "packing")
     cut = st.write(pieces(docs, tokenizer, end_id, room, id_col, text_col), "pieces")
@@ -139,9 +141,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, sla
     rounds = [st.write(cut.mapInArrow(local, BINS_SQL), "round-0")]
     top = rounds[0].agg(F.max("grp")).first()[0]
     groups = 1 if top is None else top + 1
-    level = 0
+    level, before, unmerged = 0, None, None
     while True:
-        level += 1
+        now = rounds[-1].where("not done").count()
+        if before is not None and now > worth * before:
+            unmerged = rounds[-1].where("not done")
+            break
+        before, level = now, level + 1
         last = groups == 1
         merged = _merger(level, fan, room, room if last else slack << level)
         left = rounds[-1].where("not done")
@@ -152,5 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, sla
     bins = rounds[0].where("done")
     for r in rounds[1:]:
         bins = bins.unionByName(r.where("done"))
-    before = F.transform(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(0).cast("long"), lambda a, p: a + p["length"]))
-    return bins.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("pieces", before.alias("before"))).alias("x")).select("x.pieces.*", "sequence_id", F.col("x.before").alias("offset"))
+    if unmerged is not None:
+        bins = bins.unionByName(unmerged)
+    upto = F.transform(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(0).cast("long"), lambda a, p: a + p["length"]))
+    return bins.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("pieces", upto.alias("before"))).alias("x")).select("x.pieces.*", "sequence_id", F.col("x.before").alias("offset"))

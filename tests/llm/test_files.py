@@ -86,6 +86,16 @@ def test_packing(docs, corpus, encode, room, fan):
     assert len(sequences) <= 1.1 * sum(w[3] for w in want) / room + 2
 
 
+def test_packing_of_large_documents_doesnt_gather(spark, monkeypatch):
+    """No two of these share a sequence: a round without merges ends the tree, whatever the number of partitions."""
+    rows = [(i, "a " * 60) for i in range(200)]
+    seen = []
+    merger = packing._merger
+    monkeypatch.setattr(packing, "_merger", lambda level, *rest: seen.append(level) or merger(level, *rest))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(64), PATH, room=100, fan=2).collect()
+    assert len({r["sequence_id"] for r in got}) == 200 and all(r["offset"] == 0 for r in got) and seen == [1]
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty, PATH).collect() == []
 
