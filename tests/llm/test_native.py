@@ -188,3 +188,25 @@ def test_quality_keeps_clashing_columns(spark):
     assert [tuple(r) for r in quality.accepted(df, []).collect()] == [(1, text, *range(10))]
     judged = {r["doc_id"]: r for r in quality.judge(df, []).collect()}
     assert judged[1]["n_words"] == 60 and judged[1]["kept"] and not judged[2]["kept"] and judged[3]["n_words"] == 0 and judged[3]["_w"] == 3
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Every document's verdict follows from its base columns and the learned list, measured anew in Python."""
+    import os
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels, min_covered=2)
+    assert rules
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    for r in quality.judge(docs.select("doc_id", "text"), rules).collect():
+        text = texts[r["doc_id"]]
+        n, chars, symbols, dup, repeat = measured(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        per = lambda a, b: a / b if b else 0.0
+        upper, digits, marks = sum(c.isupper() for c in text), sum(c in "0123456789" for c in text), sum(c in "!?" for c in text)
+        values = {"word_length": per(chars, n), "symbols_per_word": per(symbols, n), "dup_line_share": per(dup, lines), "repeat_word_share": per(repeat, n), "upper_share": per(upper, chars), "digit_share": per(digits, chars), "marks_per_word": per(marks, n), "words_per_line": per(n, lines)}
+        holds = lambda c: values[c.feature] >= c.threshold if c.at_least else values[c.feature] < c.threshold  # noqa: B023, E731
+        rule = next((i for i, conditions in enumerate(rules, 1) if all(map(holds, conditions))), 0)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, rule, not failed and rule == 0), r["doc_id"]
