@@ -5,7 +5,9 @@ stretches of different payloads give equal chunks. Chunks are named by their SHA
 
 1. Recipes: each document's ordered chunk digests and lengths. No payload bytes move.
 2. Store: chunks, compressed with a dictionary trained on a bounded sample of documents, are
-   deduplicated by digest and written to a table bucketed by digest.
+   deduplicated by digest and written to a table bucketed by digest. A named store stays, with its dictionary
+   (``<store>_dictionary``, under its SHA-256) and the recipes (``<store>_recipes``), so that ``restored`` reads payloads in any later
+   session; without a name the table goes once it has been read back.
 3. Reading: the recipes of distinct payloads are joined with the store in place (its buckets are not
    shuffled), chunks are gathered by payload, checked against their digests and joined in order; features come
    from these bytes. Copies of a payload are read once and their rows joined by payload digest.
@@ -170,16 +172,32 @@ def train_dictionary(texts: DataFrame) -> bytes:
         return b""
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _gathered(known: DataFrame, store: DataFrame) -> DataFrame:
+    """``(media, chunks)`` of the distinct payloads of some recipes."""
+    payloads = known.groupBy("media").agg(F.first("digests").alias("digests"))
+    wanted = payloads.select("media", F.posexplode(F.coalesce("digests", F.array("media"))).alias("place", "digest"))
+    return wanted.join(store.hint("merge"), "digest").groupBy("media").agg(F.collect_list(F.struct("place", "digest", "data")).alias("chunks"))
+
+
+def restored(spark, store: str) -> DataFrame:
+    """The media rows of a named store, read and verified with the dictionary that it keeps."""
+    row = spark.table(f"{store}_dictionary").first()  # one row
+    dictionary = bytes(row["dictionary"])
+    if hashlib.sha256(dictionary).digest() != bytes(row["digest"]):
+        raise ValueError("the dictionary doesn't match its digest")
+    return read_back(_gathered(spark.table(f"{store}_recipes"), spark.table(store)), dictionary)
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> DataFrame:
     """One row per document: ``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, n_chunks)``. The chunk store stays as a table in the warehouse."""
+    media_sha256, feature, n_chunks)``. With ``store`` the chunk store stays under that name."""
     spark = docs.sparkSession
     st = Staging(spark, "media")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dictionary = train_dictionary(texts)
     known = st.write(recipes(texts), "recipes")
 
-    table = f"chunk_store_{uuid.uuid4().hex}"
+    table = store or f"chunk_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = compressed_chunks(texts, dictionary).groupBy("digest").agg(F.first("data").alias("data"))
     before = spark.conf.get(CLEANUP, "false")
@@ -189,11 +207,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     finally:
         spark.conf.set(CLEANUP, before)
 
-    payloads = known.groupBy("media").agg(F.first("digests").alias("digests"))
-    wanted = payloads.select("media", F.posexplode(F.coalesce("digests", F.array("media"))).alias("place", "digest"))
-    found = wanted.join(spark.table(table).hint("merge"), "digest")
-    chunks = found.groupBy("media").agg(F.collect_list(F.struct("place", "digest", "data")).alias("chunks"))
-    media = st.write(read_back(chunks, dictionary), "media")
+    media = st.write(read_back(_gathered(known, spark.table(table)), dictionary), "media")
+    if store:
+        known.write.saveAsTable(f"{store}_recipes")
+        spark.createDataFrame([(bytearray(hashlib.sha256(dictionary).digest()), bytearray(dictionary))], "digest binary, dictionary binary").write.saveAsTable(f"{store}_dictionary")
+    else:
+        spark.sql(f"DROP TABLE {table}")
     out = known.select("doc_id", "n_bytes", "media", F.coalesce(F.size("digests"), F.lit(1)).cast("long").alias("n_chunks")).join(media, "media")
     digests = {"payload_sha256": F.lower(F.hex("media")), "media_sha256": F.lower(F.hex("form"))}
     out = out.withColumns(digests)

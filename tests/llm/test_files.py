@@ -113,6 +113,14 @@ def test_media_round_trip(docs, corpus):
         assert same.setdefault(payload, rest) == rest
 
 
+def test_named_store_is_read_without_the_run(spark, docs):
+    got = {r["payload_sha256"]: r["media_sha256"] for r in media.media_columns(docs, store="kept_media").collect()}
+    again = {bytes(r["media"]).hex(): bytes(r["form"]).hex() for r in media.restored(spark, "kept_media").collect()}
+    assert again == got and not [t for t in spark.catalog.listTables() if t.name.startswith("chunk_store_")]
+    for t in ("kept_media", "kept_media_recipes", "kept_media_dictionary"):
+        spark.sql(f"DROP TABLE {t}")
+
+
 def test_media_empty(empty):
     assert media.media_columns(empty).collect() == []
 

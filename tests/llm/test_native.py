@@ -194,9 +194,9 @@ def test_verdicts_equal_brute_force(spark):
     """Every document's verdict follows from its base columns and the learned list, measured anew in Python."""
     import os
 
-    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    folder = os.environ.get("TEST_LABELS_DIR", "/root/testdata/sf0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    rules = quality.fit(docs, labels, min_covered=2)
+    rules = quality.fit(docs, labels)
     assert rules
     texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
     for r in quality.judge(docs.select("doc_id", "text"), rules).collect():
