@@ -128,7 +128,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text, as unsigned 32-bit integers."""
         text = text or ""
-        if self.cut and self.cut.search(text):
+        if any(t in text for t in self.special):
             parts = [x for x in self.cut.split(text) if x]
             return np.frombuffer(b"".join(self.special[x] if x in self.special else self._plain(x) for x in parts), "<u4")
         return np.frombuffer(self._plain(text), "<u4")
