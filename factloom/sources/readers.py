@@ -11,13 +11,15 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 FORMATS = {"csv": ",", "tsv": "\t", "psv": "|"}
-KEYS = {"format", "member", "records_path", "columns", "header_row", "strict", "sheet"}
+KEYS = {"format", "member", "records_path", "columns", "header_row", "strict", "sheet", "one_line_records"}
+BATCH = 5000  # rows that a task holds of an archive before it passes them on
 
 
 def validated(config: dict) -> dict:
@@ -31,15 +33,29 @@ def validated(config: dict) -> dict:
 
 
 def read_rows(spark: SparkSession, path: str, config: dict) -> DataFrame:
-    """Rows of the files at a path. Gzip is read by suffix; ``member`` is a pattern of names inside zip files."""
+    """Rows of the files at a path. Gzip is read by suffix; ``member`` is a pattern of names inside zip files.
+
+    ``columns`` keeps the named ones, in that order; ``sheet`` is a worksheet's name or number from 1. Delimited files may
+    have line breaks within quotes; ``one_line_records`` says that they have none, so that large files are split.
+    """
     config = validated(config)
+    wanted = config.get("columns")
+    rows = _read(spark, path, config)
+    if not wanted:
+        return rows
+    if "row" in rows.columns and dict(rows.dtypes)["row"].startswith("map"):
+        return rows.withColumn("row", F.map_filter("row", lambda k, _: k.isin(*wanted)))
+    return rows.select(*[F.col(f"`{c}`") for c in wanted], "locator")
+
+
+def _read(spark: SparkSession, path: str, config: dict) -> DataFrame:
     kind = config["format"]
     if kind == "xlsx" or "member" in config:
         return _archived(spark, path, config)
     located = F.concat(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("@"), F.col("_metadata.file_block_start").cast("string"))
     if kind in FORMATS:
         mode = "FAILFAST" if config.get("strict") else "PERMISSIVE"
-        rows = spark.read.csv(path, header=True, sep=FORMATS[kind], inferSchema=False, mode=mode, multiLine=False)
+        rows = spark.read.csv(path, header=True, sep=FORMATS[kind], inferSchema=False, mode=mode, multiLine=not config.get("one_line_records", False))
         return rows.select("*", located.alias("locator"))
     if kind == "jsonl":
         return spark.read.text(path).where("value rlike '\\\\S'").select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST" if config.get("strict") else "PERMISSIVE"}).alias("row"), located.alias("locator"))
@@ -53,44 +69,66 @@ def _archived(spark: SparkSession, path: str, config: dict) -> DataFrame:
     """Rows of zip members or worksheets as ``(row map, locator)``; a file is parsed by one task."""
     kind, member = config["format"], config.get("member", "*")
 
+    def rows(name: str, content: bytes) -> Iterator[tuple[dict, str]]:
+        short = name.rsplit("/", 1)[-1]
+        if kind == "xlsx":
+            for n, r in worksheet(content, config.get("header_row", 1), config.get("sheet", 1)):
+                yield r, f"{short}!{n}"
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            found = [m for m in z.namelist() if fnmatch.fnmatch(m.lower(), member.lower()) and not m.endswith("/")]
+            if not found:
+                raise ValueError(f"no member of {short} matches {member}")
+            for m in sorted(found):
+                for n, r in enumerate(_members(z.read(m), kind, config.get("records_path", [])), 1):
+                    yield r, f"{short}/{m}#{n}"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                short, rows = name.rsplit("/", 1)[-1], []
-                if kind == "xlsx":
-                    rows = [(r, f"{short}!{n}") for n, r in worksheet(bytes(content), config.get("header_row", 1))]
-                else:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                        found = [m for m in z.namelist() if fnmatch.fnmatch(m.lower(), member.lower()) and not m.endswith("/")]
-                        if not found:
-                            raise ValueError(f"no member of {short} matches {member}")
-                        for m in sorted(found):
-                            rows += [(r, f"{short}/{m}#{n}") for n, r in enumerate(_members(z.read(m), kind), 1)]
-                yield pd.DataFrame({"row": [r for r, _ in rows], "locator": [x for _, x in rows]})
+                found = rows(name, bytes(content))
+                while some := list(islice(found, BATCH)):
+                    yield pd.DataFrame({"row": [r for r, _ in some], "locator": [x for _, x in some]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "row map<string,string>, locator string")
 
 
-def _members(content: bytes, kind: str) -> Iterator[dict]:
+def _text(value) -> str | None:
+    return value if isinstance(value, str) or value is None else json.dumps(value)
+
+
+def _members(content: bytes, kind: str, records_path: list[str]) -> Iterator[dict]:
     text = content.decode("utf-8-sig")
     if kind in FORMATS:
         yield from pd.read_csv(io.StringIO(text), sep=FORMATS[kind], dtype=str, keep_default_na=False).to_dict("records")
-    elif kind == "jsonl":
-        for line in text.splitlines():
-            if line.strip():
-                yield {k: v if isinstance(v, str) or v is None else json.dumps(v) for k, v in json.loads(line).items()}
-
-
-def worksheet(content: bytes, header_row: int = 1) -> Iterator[tuple[int, dict]]:
-    """Numbered rows of the first sheet of a workbook, by the header's names; blank rows are skipped."""
+        return
+    if kind == "jsonl":
+        found = [json.loads(line) for line in text.splitlines() if line.strip()]
+    else:
+        found = json.loads(text)
+        for part in records_path:
+            found = found[part]
+        if not isinstance(found, list):
+            raise ValueError(f"no list of records at {'/'.join(records_path) or 'the top'}")
+    for record in found:
+        yield {k: _text(v) for k, v in record.items()}
+
+
+def worksheet(content: bytes, header_row: int = 1, sheet: str | int = 1) -> Iterator[tuple[int, dict]]:
+    """Numbered rows of a sheet of a workbook, by name or number, by the header's names; blank rows are skipped."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        if isinstance(sheet, str):
+            listed = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")]
+            if sheet not in listed:
+                raise ValueError(f"no sheet {sheet}")
+            sheet = listed.index(sheet) + 1
+        page = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
     names: dict[str, str] = {}
-    for row in sheet.iter(f"{{{ns['m']}}}row"):
+    for row in page.iter(f"{{{ns['m']}}}row"):
         n, cells = int(row.get("r")), {}
         for c in row.findall("m:c", ns):
             v = c.find("m:v", ns)

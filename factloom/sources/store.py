@@ -7,6 +7,7 @@ Manifests are JSON files beside the data, written through Spark's file system, s
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,13 +24,18 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _put(self, path: str, value: dict) -> None:
+        """Writes a file of its own and moves it over the old one in a single step, so that a reader sees one or the other."""
         fs, p = self._fs(path)
-        temporary = self._fs(path + ".new")[1]
+        temporary = self._fs(f"{path}.{uuid.uuid4().hex}.new")[1]
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(temporary, p)
+        sc, hadoop = self.spark.sparkContext, self.spark._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        options = sc._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(p), options)
 
     def _get(self, path: str) -> dict | None:
         fs, p = self._fs(path)

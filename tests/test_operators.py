@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from factloom.functions import identifiers, numeric, text
-from factloom.operators import asof, beliefs, components, crosswalk, econometrics, evidence, graph, identity, kernels, products, resolution, stats, temporal
+from factloom.operators import asof, beliefs, components, crosswalk, econometrics, evidence, graph, identity, kernels, panels, products, resolution, stats, temporal
 from factloom.operators.staging import Staging
 from factloom.sources import readers
 from factloom.sources.store import Store
@@ -149,6 +149,26 @@ def test_constrained_clusters(spark):
     assert sorted(tuple(r) for r in resolution.resolved_view(clusters).collect()) == [(1, 1), (2, 1), (11, 11), (12, 11), (13, 11)]
 
 
+def test_ledger_counts_a_batch_once(spark):
+    b = spark.createDataFrame([(1, "a", 1, 5), (1, "a", 1, 5), (2, "a", 2, 7), (2, "a", 3, 8), (3, "a", 4, 1)], "batch int, account string, seq int, amount int")
+    assert rows(panels.ledger(b, "account", "amount"), "batch", "balance", "conflict") == [(1, 5, False), (2, 5, True), (3, 6, False)]
+
+
+def test_run_order_refuses_circles(spark):
+    stages = spark.createDataFrame([("a",), ("b",), ("c",)], "stage string")
+    with pytest.raises(ValueError, match="circle"):
+        panels.run_order(stages, spark.createDataFrame([("a", "b"), ("b", "a")], "stage string, need string"), Staging(spark, "t"))
+    with pytest.raises(ValueError, match="isn't there"):
+        panels.run_order(stages, spark.createDataFrame([("a", "x")], "stage string, need string"), Staging(spark, "t"))
+
+
+def test_screening_is_never_clear_of_the_unseen(spark):
+    own = spark.createDataFrame([("l", "a", 0.5), ("a", "b", 0.5), ("b", "c", 0.5), ("x", "d", 1.0), ("m", "l", 1.0)], "subject string, object string, share double")
+    listed, subjects = spark.createDataFrame([("l",), ("m",)], "entity string"), spark.createDataFrame([(s,) for s in "abcd"], "entity string")
+    got = {r["subject"]: (r["listed"], r["hop"], r["share"], r["status"]) for r in products.screen(own, listed, subjects, 2, Staging(spark, "t")).collect()}
+    assert got == {"a": ("l", 1, 0.5, "match"), "b": ("l", 2, 0.25, "match"), "c": (None, None, None, "inconclusive"), "d": (None, None, None, "clear")}
+
+
 def test_clearing(spark):
     debts = spark.createDataFrame([("a", "b", 100.0), ("b", "c", 80.0), ("c", "a", 10.0)], "borrower string, lender string, amount double")
     cash = spark.createDataFrame([("a", 40.0), ("b", 0.0)], "id string, cash double")
@@ -210,6 +230,16 @@ def test_readers(spark, tmp_path):
     assert readers.read_rows(spark, f"{p}/c.json", {"format": "json", "records_path": ["data", "rows"]}).count() == 2
     assert readers.read_rows(spark, f"{p}/d.zip", {"format": "tsv", "member": "IN/*.tsv"}).first()["row"] == {"k": "1", "v": "x"}
     assert readers.read_rows(spark, f"{p}/e.xlsx", {"format": "xlsx"}).collect()[0]["row"] == {"k": "7", "name": "seven"}
+    (tmp_path / "q.csv").write_text('k,v\n1,"two\nlines"\n2,z\n')
+    assert rows(readers.read_rows(spark, f"{p}/q.csv", {"format": "csv", "columns": ["v"]}), "v") == [("two\nlines",), ("z",)]
+    with zipfile.ZipFile(tmp_path / "j.zip", "w") as z:
+        z.writestr("a.json", json.dumps({"rows": [{"k": 1, "v": {"x": 2}}, {"k": 2}]}))
+    got = readers.read_rows(spark, f"{p}/j.zip", {"format": "json", "member": "*.json", "records_path": ["rows"], "columns": ["k"]}).collect()
+    assert [r["row"] for r in got] == [{"k": "1"}, {"k": "2"}]
+    with zipfile.ZipFile(tmp_path / "e.xlsx", "a") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{n}"><sheets><sheet name="First"/><sheet name="Other"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{n}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2"><v>9</v></c></row></sheetData></worksheet>')
+    assert [r["row"] for r in readers.read_rows(spark, f"{p}/e.xlsx", {"format": "xlsx", "sheet": "Other"}).collect()] == [{"k": "9"}]
     with pytest.raises(ValueError, match="unknown reader options"):
         readers.read_rows(spark, p, {"format": "csv", "typo": 1})
 
