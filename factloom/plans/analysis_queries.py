@@ -440,3 +440,21 @@ def dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stateful_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _stream(spark, sf_dir, lambda e: streaming.latest(e, ["user_id"], "ts", "amount"), "complete")
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("amount").cast("double").alias("amount"))
+
+
+@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 20 AS INT)) THEN c_mktsegment END AS segment FROM events LEFT JOIN customer ON c_custkey = user_id""")
+def stream_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream with a table that is valid from a date of each key."""
+    since = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(c_custkey % 20 as int))").cast("timestamp")
+    table = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), since.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return _stream(spark, sf_dir, lambda e: streaming.enriched(e, table, ["user_id"], "ts").select("event_id", "segment"), "append")
+
+
+@query("""SELECT a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'click' AND b.event_type <> 'click'""")
+def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with what the same user does within two hours, both sides streams."""
+
+    def shape(e: DataFrame) -> DataFrame:
+        return streaming.followed(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), "user_id", "ts", "2 hours", "1 day").select("first_id", "then_id")
+
+    return _stream(spark, sf_dir, shape, "append")
