@@ -80,7 +80,7 @@ def observation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.frame(seen, ["0", "1", "2"]).toDF("period", "s0", "s1", "s2")
 
 
-VOTES = "(SELECT l_orderkey AS rollcall, l_suppkey AS member, CASE WHEN l_suppkey % 2 = 0 THEN 'D' ELSE 'R' END AS party, CASE l_returnflag WHEN 'R' THEN 'yea' WHEN 'A' THEN 'nay' ELSE CASE WHEN l_quantity > 25 THEN 'yea' WHEN l_quantity > 5 THEN 'nay' ELSE 'present' END END AS position FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1)"
+VOTES = "(SELECT l_orderkey AS rollcall, l_suppkey AS member, CASE WHEN l_suppkey % 2 = 0 THEN 'D' ELSE 'R' END AS party, CASE l_returnflag WHEN 'R' THEN 'yea' WHEN 'A' THEN 'nay' ELSE CASE WHEN l_quantity > 25 THEN 'yea' WHEN l_quantity > 5 THEN 'nay' ELSE 'present' END END AS position FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice DESC, l_quantity DESC, l_returnflag DESC) AS k FROM lineitem) WHERE k = 1)"
 
 
 @query(f"""WITH c AS (SELECT * FROM {VOTES} WHERE position <> 'present'), p AS (SELECT rollcall, party, SUM(CASE position WHEN 'yea' THEN 1 ELSE -1 END) AS lean FROM c GROUP BY 1, 2 HAVING SUM(CASE position WHEN 'yea' THEN 1 ELSE -1 END) <> 0),
@@ -89,7 +89,7 @@ SELECT member, c.party, COUNT(*) AS unity_votes, COUNT(*) FILTER ((position = 'y
 def member_panel_defections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes on which the parties oppose each other, and those against one's own party."""
     line = read(spark, sf_dir, "lineitem")
-    one = panels.latest_filing(line.withColumns({"_a": -F.col("l_linenumber"), "_b": -F.col("l_partkey")}), ["l_orderkey", "l_suppkey"], "_a", "_b")
+    one = panels.latest_filing(line.withColumns({"_a": -F.col("l_linenumber"), "_b": -F.col("l_partkey")}), ["l_orderkey", "l_suppkey"], "_a", "_b", "l_extendedprice", "l_quantity", "l_returnflag")
     by_flag = F.when(F.col("l_returnflag") == "R", "yea").when(F.col("l_returnflag") == "A", "nay").when(F.col("l_quantity") > 25, "yea").when(F.col("l_quantity") > 5, "nay").otherwise("present")
     votes = one.select(F.col("l_orderkey").alias("rollcall"), F.col("l_suppkey").alias("member"), F.when(F.col("l_suppkey") % 2 == 0, "D").otherwise("R").alias("party"), by_flag.alias("position"))
     return panels.party_unity(votes)
@@ -178,12 +178,12 @@ def ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.ledger(b, "account", "amount")
 
 
-@query("""WITH RECURSIVE f AS (SELECT s_nationkey % 3 AS i, s_suppkey % 4 AS j, COUNT(*)::DOUBLE AS v FROM supplier GROUP BY ALL), n AS (SELECT COUNT(*)::DOUBLE AS n FROM supplier) SELECT i, ROUND(n / 3, 4) AS row_total FROM f, n GROUP BY i, n""")
+@query("""WITH f AS (SELECT c_nationkey % 3 AS i, c_custkey % 4 AS j, COUNT(*)::DOUBLE AS v FROM customer GROUP BY ALL), n AS (SELECT COUNT(*)::DOUBLE AS n FROM customer) SELECT i, ROUND(n / 3, 4) AS row_total FROM f, n GROUP BY i, n""")
 def balanced_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows scaled until every origin has a third and every destination a quarter of the whole: the origins' totals."""
-    s = read(spark, sf_dir, "supplier")
+    s = read(spark, sf_dir, "customer")
     n = s.count()
-    flows = s.groupBy((F.col("s_nationkey") % 3).alias("i"), (F.col("s_suppkey") % 4).alias("j")).agg(F.count("*").alias("flow"))
+    flows = s.groupBy((F.col("c_nationkey") % 3).alias("i"), (F.col("c_custkey") % 4).alias("j")).agg(F.count("*").alias("flow"))
     rows, columns = flows.select("i").distinct().withColumn("total", F.lit(n / 3)), flows.select("j").distinct().withColumn("total", F.lit(n / 4))
     out = panels.balance_flows(flows, rows, columns, Staging(spark, "balance"))
     return out.groupBy("i").agg(F.round(F.sum("flow"), 4).alias("row_total"))
