@@ -240,9 +240,7 @@ def factor(source: str, target: str, commodity: str | None = None, day_count: st
     physical time by a day count.
     """
     a, b = parse(source), parse(target)
-    kinds = {(k, bool(u.ratio and not u.dims)) for u in (a, b) for k in ("ratio",)}
-    difference = [u for u in (a, b) if ("ratio_difference", 1) in u.dims]
-    if len(difference) == 1 and (True in {k for _, k in kinds}):
+    if any(("ratio_difference", 1) in x.dims and y.ratio and not y.dims for x, y in ((a, b), (b, a))):
         raise UnitError("a ratio isn't a difference of ratios")
     for kind in ("currency:", "index:"):
         if sorted(k for k, _ in a.dims if k.startswith(kind)) != sorted(k for k, _ in b.dims if k.startswith(kind)):
