@@ -44,3 +44,19 @@ def test_query_without_oracle(spark, name):
     """Rows are there, reruns agree, and numbers are finite; the operators' values are tested on small tables."""
     one, two = ([tuple(map(plain, r)) for r in QUERIES[name](spark, SF).collect()] for _ in range(2))
     assert one and sorted(one) == sorted(two) and not any(v in ("inf", "-inf") for r in one for v in r)
+
+
+@pytest.mark.parametrize("name", ["all_shortest_paths", "path_evidence"])
+@pytest.mark.parametrize("second", [7, 1])
+def test_paths_of_two_steps_alone(spark, tmp_path, name, second):
+    """Suppliers 1 and 2 share a part, or (second = 7) meet over supplier 3 alone, four steps apart."""
+    lines = [(1, 1, 1, 1), (2, 1, 3, 1), (3, 1, 3, 7), (4, 1, 2, second)]  # order, line, supplier, part
+    dated = ", ".join(f"({o}, {n}, {s}, {p}, 5000.0, TIMESTAMP '1998-01-01')" for o, n, s, p in lines)
+    c = duckdb.connect()
+    c.execute(f"create table lineitem as from (values {dated}) t(l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_shipdate)")
+    c.execute(f"copy (select * replace (l_extendedprice::double as l_extendedprice) from lineitem) to '{tmp_path}/lineitem.parquet'")
+    q = c.execute(ORACLES[name])
+    names = [d[0] for d in q.description]
+    want = sorted(tuple(map(plain, r)) for r in q.fetchall())
+    assert sorted(tuple(plain(r[k]) for k in names) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+    assert bool(want) == (second == 1)
