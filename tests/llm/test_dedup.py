@@ -231,3 +231,26 @@ def test_kept_digest(docs):
 
     r = substrings.cut_repeats(docs).withColumn("d", F.sha2("kept", 256)).first()
     assert r["d"] == hashlib.sha256(r["kept"].encode()).hexdigest()
+
+
+def test_lines_alike_without_a_common_block(spark):
+    """Insertions into short lines, alone or beside a replaced word, and long lines at the very threshold."""
+    rng = random.Random(5)
+    rows, word = [], (f"w{a}q{b}".translate(str.maketrans("0123456789", "abcdefghij")) for a in range(100) for b in range(1000))
+
+    def pair(n, replaced, inserted):
+        one = [next(word) for _ in range(n)]
+        two = list(one)
+        for at in rng.sample(range(n), replaced):
+            two[at] = next(word)
+        for _ in range(inserted):
+            two.insert(rng.randrange(len(two) + 1), next(word))
+        rows.extend([(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))])
+
+    for n, replaced, inserted in ((4, 0, 2), (5, 0, 2), (6, 0, 2), (6, 0, 3), (7, 1, 1), (8, 1, 1), (10, 2, 0), (15, 3, 0), (30, 6, 0), (60, 12, 0), (150, 30, 0), (300, 60, 0)):
+        for _ in range(4):
+            pair(n, replaced, inserted)
+    gone = like_lines(rows)
+    assert len(gone) == len(rows) // 2
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), Staging(spark, "test")).collect()
+    assert {(r["id"], n) for r in found for n in r["lines"]} == gone
