@@ -254,3 +254,32 @@ def test_lines_alike_without_a_common_block(spark):
     assert len(gone) == len(rows) // 2
     found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), Staging(spark, "test")).collect()
     assert {(r["id"], n) for r in found for n in r["lines"]} == gone
+
+
+@pytest.fixture
+def verified(monkeypatch):
+    """How many pairs each verification was given."""
+    seen, alike = [], lines._alike
+    monkeypatch.setattr(lines, "_alike", lambda pairs, *rest: (seen.append(pairs.count()), alike(pairs, *rest))[1])
+    return seen
+
+
+def test_long_lines_half_alike_are_not_paired(spark, verified):
+    """Lines of 400 words that share half of them, in two pairs of like ones."""
+    half = [f"x{letters(random.Random(i))}" for i in range(200)]
+    rows = [(i, " ".join(half + [f"y{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}q{letters(random.Random(1000 + k))}" for k in range(200)])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " some more words") for i in range(2)]
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), Staging(spark, "test")).collect()
+    assert {(r["id"], n) for r in found for n in r["lines"]} == {(100, 0), (101, 0)}
+    assert sum(verified) < 40
+
+
+def test_long_like_lines_meet_around_hubs(spark, verified):
+    """Lines of one repeated passage of 600 words with at most 59 of their own: all alike, though keys of common words say too little to hold them together."""
+    rows = []
+    for i in range(60):
+        rng = random.Random(i)
+        rows.append((i, " ".join([letters(rng) + "q" for _ in range(rng.randrange(20, 60))] + ["is onhe"] * 300)))
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), Staging(spark, "test")).collect()
+    assert {(r["id"], n) for r in found for n in r["lines"]} == {(i, 0) for i in range(1, 60)}
+    assert sum(verified) < 60 * 59 // 2 // 3
