@@ -102,12 +102,12 @@ def shortest_paths(edges: DataFrame, source: str, hops: int, staging: Staging, d
     return root.unionByName(reached.groupBy("node", "hop").agg(F.min("parent").alias("parent")))
 
 
-def all_shortest_paths(edges: DataFrame, source: str, target: str, hops: int, staging: Staging, direction: str = "both", limit: int = 10) -> DataFrame:
-    """``(path, length, steps)``: the first ``limit`` shortest paths from source to target, parallel edges apart.
+def all_shortest_paths(edges: DataFrame, source: str, target: str, hops: int, staging: Staging, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """``(path, length, steps)``: all shortest paths from source to target, or the first ``limit``, parallel edges apart.
 
     Edges have an ``eid``. Steps are ``(source, target, predicate, eid, forward)`` in order. Paths are numbered in the order of
-    (parent, edge) read back from the target: at each level only the first ``limit`` tails can matter, as every tail leads to the source.
-    A path from a node to itself is one of no steps.
+    (parent, edge) read back from the target, edges without ``eid`` last; as every tail leads to the source, no more tails grow
+    than there are paths, and of a limit only the first at each level can matter. A path from a node to itself is one of no steps.
     """
     spark = edges.sparkSession
     kind = "array<struct<source:string,target:string,predicate:string,eid:long,forward:boolean>>"
@@ -119,14 +119,23 @@ def all_shortest_paths(edges: DataFrame, source: str, target: str, hops: int, st
     if not found:
         return spark.range(0).select(F.lit(1).alias("path"), F.lit(0).alias("length"), F.array().cast(kind).alias("steps"))
     length = reached.agg(F.max("hop")).first()[0]
-    order = F.array().cast("array<struct<parent:string,eid:long>>")
+    order = F.array().cast("array<struct<parent:string,unknown:boolean,eid:long>>")
     tails = spark.range(1).select(F.lit(target).alias("at"), order.alias("o"), F.array().cast(kind).alias("steps"))
     for hop in range(length, 0, -1):
         links = reached.where(F.col("hop") == hop).select(F.col("node").alias("at"), "parent", "predicate", "eid", "forward")
         one = F.struct(F.col("parent").alias("source"), F.col("at").alias("target"), "predicate", "eid", "forward")
-        grown = tails.join(links, "at").select(F.col("parent").alias("at"), F.concat("o", F.array(F.struct("parent", "eid"))).alias("o"), F.concat(F.array(one), "steps").alias("steps"))
-        tails = staging.write(grown.orderBy("o").limit(limit), f"tails-{hop}")
-    return tails.select(F.row_number().over(W.orderBy("o")).alias("path"), F.lit(length).alias("length"), "steps")
+        grown = tails.join(links, "at").select(F.col("parent").alias("at"), F.concat("o", F.array(F.struct("parent", F.col("eid").isNull().alias("unknown"), "eid"))).alias("o"), F.concat(F.array(one), "steps").alias("steps"))
+        tails = staging.write(grown if limit is None else grown.orderBy("o").limit(limit), f"tails-{hop}")
+    return _numbered(tails, "o", "path", staging).select("path", F.lit(length).alias("length"), "steps")
+
+
+def _numbered(rows: DataFrame, order: str, name: str, staging: Staging) -> DataFrame:
+    """Rows with an int ``name`` from 1 on in the order of a column: sorted by ranges, each range counting on from those before it."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    ranged = staging.write(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    bases = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select("_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return ranged.join(bases, "_range").withColumn(name, (F.col("_at") + F.col("_base")).cast("int")).drop("_range", "_at", "_base")
 
 
 def neighbors(records: DataFrame, seed: str, hops: int, limit: int, staging: Staging) -> tuple[DataFrame, bool]:
