@@ -211,6 +211,39 @@ def test_simhash_is_the_majority():
         assert int(h) == sum(1 << b for b, v in enumerate(votes) if 2 * v > n)
 
 
+def test_line_simhash_of_every_length():
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 400, 1, 256, 257, 30, 2000])
+    words = rng.integers(0, 2**63, sizes.sum()).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    assert lines.line_simhashes(words, starts, sizes).view(np.uint64).tolist() == lines.simhashes(words, starts, sizes).tolist()
+
+
+def test_rarest_common_word_bounds_what_differs():
+    """Parities of suffixes are those of the words themselves, and keep every pair of bags that may be alike at its first common word."""
+    rng, rank = np.random.default_rng(8), np.zeros(lines.BUCKETS, np.uint64)
+    for n in [4, 5, 9, 30, 64, 65, 100, 300] * 5:
+        a = rng.integers(0, 2**40, n).astype(np.uint64)
+        b = a[: n - int(0.2 * n)]
+        b = np.concatenate([b, rng.integers(0, 2**40, rng.integers(0, n - len(b) + 1)).astype(np.uint64)])
+        sizes = np.array([len(a), len(b)])
+        token, held, parity, width = lines.prefixes(*lines.tokens(np.concatenate([a, b]), sizes), sizes, rank, 0.8)
+        shown, rests = np.split(token, [held[0]]), []
+        for own, wide in zip(shown, np.split(parity, [width[0]])):
+            rest = lines.suffix_parities(own, np.zeros(len(own), int), wide[None])
+            for k in range(len(own)):
+                slot, bit = lines.parity_bits(own[:k], len(wide))
+                want = wide.copy()
+                np.bitwise_xor.at(want, slot, bit)
+                assert rest[k].tolist() == want.tolist()
+            rests.append(rest)
+        i, j = next((i, j) for i, x in enumerate(shown[0]) for j, y in enumerate(shown[1]) if x == y)
+        v = int(width.min())
+        apart = np.bitwise_count(lines.folded(rests[0][i : i + 1], v) ^ lines.folded(rests[1][j : j + 1], v)).sum()
+        both = len(a) + len(b)
+        assert 2 * np.isin(a, b).sum() < 0.8 * both - 1e-9 or i + j + apart <= 0.2 * both + 1e-9
+
+
 def test_lines_empty(empty):
     assert lines.dedup_lines(empty).collect() == []
 
